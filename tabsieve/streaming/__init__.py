@@ -1,0 +1 @@
+"""Empty on purpose: the capability set this package covers has no streaming operator."""
