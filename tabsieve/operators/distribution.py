@@ -47,9 +47,20 @@ def value_histogram(df: DataFrame, features: Sequence[str], keep: Sequence[str]
     return long_form(df, features, keep).groupBy(*keep, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def position(edges: Column, value: Column) -> Column:
-    """How many of the edges lie strictly below the value."""
-    return F.size(F.filter(edges, lambda e: e < value))
+def locate(df: DataFrame, edges: str, value: Column, size: int, out: str, inclusive: bool = False) -> DataFrame:
+    """Add `out`: how many entries of the ascending array column lie below the value (or equal it).
+
+    An unrolled binary search over at most `size` entries: every step is a plain projection that
+    stays inside generated code, unlike an array lambda that would visit all entries.
+    """
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(size, 1).bit_length() - 1
+    while step:
+        probe = F.get(F.col(edges), F.col(out) + (step - 1))
+        hit = (probe <= value) if inclusive else (probe < value)
+        df = df.withColumn(out, F.when(hit, F.col(out) + step).otherwise(F.col(out)))
+        step >>= 1
+    return df
 
 
 def bucket_by_sketch(
@@ -60,7 +71,7 @@ def bucket_by_sketch(
     tagged = df if groups else df.withColumn("_all", F.lit(0))
     keys = list(groups) or ["_all"]
     edges = tagged.groupBy(*keys).agg(F.percentile_approx(value, probs, 10 * buckets).alias("_edges"))
-    placed = tagged.join(edges, keys).withColumn(name, position(F.col("_edges"), F.col(value)))
+    placed = locate(tagged.join(edges, keys), "_edges", F.col(value), buckets, name)
     return placed.drop("_edges", "_all")
 
 
@@ -127,24 +138,25 @@ def exact_quantiles(
             for i in range(len(probs))
         ]
     )
-    sketch = sketch.select(
-        *keys, "n", F.array_distinct(brackets).alias("br"),
-    ).withColumn(
+    sketch = sketch.select(*keys, "n", F.array_distinct(brackets).alias("br")).withColumn(
         "edges", F.array_sort(F.array_distinct(F.concat(F.transform("br", lambda s: s["a"]),
                                                         F.transform("br", lambda s: s["b"]))))
     )
-    renamed = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n", "br", "edges")
+    # covered[s]: does the open interval just below edge s belong to a bracket?
+    sketch = sketch.withColumn("covered", F.transform("edges", lambda e, i: (i > 0) & F.exists(
+        "br", lambda s: (s["a"] <= F.get(F.col("edges"), i - 1)) & (s["b"] >= e))))
+    renamed = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n", "covered", "edges")
     match = None
     for k in keys:
         cond = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         match = cond if match is None else match & cond
-    placed = cells.join(F.broadcast(renamed), match)
-    inside = F.exists("br", lambda s: (F.col("value") >= s["a"]) & (F.col("value") <= s["b"]))
-    slot = position(F.col("edges"), F.col("value"))
+    placed = locate(cells.join(F.broadcast(renamed), match), "edges", F.col("value"), len(edge_probs), "slot")
+    slot = F.col("slot")
+    upper = F.get(F.col("edges"), slot)
     lower = F.when(slot > 0, F.get(F.col("edges"), slot - 1))
-    width = F.get(F.col("edges"), slot) - lower
+    inside = F.coalesce(F.get(F.col("covered"), slot) | (upper == F.col("value")), F.lit(False))
     sub = F.coalesce(
-        F.least(F.lit(255), F.floor(F.try_divide(F.col("value") - lower, width) * 256)), F.lit(0)
+        F.least(F.lit(255), F.floor(F.try_divide(F.col("value") - lower, upper - lower) * 256)), F.lit(0)
     ).cast("int")
     counted = (
         placed.select(

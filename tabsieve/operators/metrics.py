@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.scalar import safe_ratio
-from tabsieve.operators.distribution import bucket_by_sketch, exact_quantiles, running_totals
+from tabsieve.operators.distribution import bucket_by_sketch, exact_quantiles, locate, running_totals
 from tabsieve.operators.split import bootstrap_counts
 
 EPS = 1e-15  # score clipping of the log loss
@@ -164,8 +164,8 @@ def _counts_on_grid(hist: DataFrame, by: Sequence[str], grid: tuple[float, float
     else:
         points = sorted(float(t) for t in grid)
     edges = F.array(*[F.lit(t) for t in points])
-    slot = F.size(F.filter(edges, lambda t: t <= F.col("score")))
-    per = hist.groupBy(*by, slot.alias("slot")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    placed = locate(hist.withColumn("_grid", edges), "_grid", F.col("score"), len(points), "slot", inclusive=True)
+    per = placed.groupBy(*by, "slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     expanded = per.select(*by, "slot", "pos", "neg", F.posexplode(edges).alias("i", "threshold"))
     above = F.col("slot") > F.col("i")
     pick = lambda c, m: F.sum(F.when(m, F.col(c)).otherwise(0))
@@ -213,9 +213,8 @@ def reliability(preds: DataFrame, bins: int = 10, label: str = "label", score: s
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(preds, [score], probs).agg(F.array_sort(F.collect_list("q")).alias("edges"))
     hist = score_histogram(preds, label, score).join(F.broadcast(edges))
-    b = F.size(F.filter("edges", lambda e: e < F.col("score")))
     n = F.col("pos") + F.col("neg")
-    return hist.groupBy(b.alias("bin")).agg(
+    return locate(hist, "edges", F.col("score"), bins, "bin").groupBy("bin").agg(
         F.sum(n).alias("n"), (F.sum(F.col("score") * n) / F.sum(n)).alias("mean_score"),
         (F.sum("pos") / F.sum(n)).alias("observed"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.scalar import right_closed_bin
 from tabsieve.operators.distribution import (
-    average_ranks, column_aggregate, exact_medians, exact_quantiles, long_form, value_histogram,
+    average_ranks, column_aggregate, exact_medians, exact_quantiles, locate, long_form, value_histogram,
 )
 
 
@@ -174,10 +174,9 @@ def bin_by_quantiles(df: DataFrame, features: Sequence[str], label: str, bins: i
         F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
     cells = long_form(df, features, [label])
     hist = cells.groupBy("variable", "value", label).agg(F.count(F.lit(1)).alias("n"))
-    b = F.when(F.col("value").isNull(), -1).otherwise(
-        F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < F.col("value"))))
-    return hist.join(F.broadcast(edges), "variable", "left").groupBy(
-        "variable", b.alias("bin"), label).agg(F.sum("n").alias("n"))
+    placed = locate(hist.join(F.broadcast(edges), "variable", "left"), "edges", F.col("value"), bins, "slot")
+    b = F.when(F.col("value").isNull(), -1).otherwise(F.col("slot"))
+    return placed.groupBy("variable", b.alias("bin"), label).agg(F.sum("n").alias("n"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
@@ -314,9 +313,9 @@ def single_cuts(df: DataFrame, features: Sequence[str], label: str, probs: Seque
         F.array_sort(F.array_distinct(F.collect_list("q"))).alias("cuts"))
     hist = long_form(df, features, [label]).groupBy("variable", "value", label).agg(
         F.count(F.lit(1)).alias("n"))
-    at_or_above = F.when(F.col("value").isNull(), -1).otherwise(
-        F.size(F.filter("cuts", lambda e: e <= F.col("value"))))
-    binned = hist.join(F.broadcast(cuts), "variable").groupBy("variable", "cuts", at_or_above.alias("b")).agg(
+    placed = locate(hist.join(F.broadcast(cuts), "variable"), "cuts", F.col("value"), len(probs), "slot", inclusive=True)
+    at_or_above = F.when(F.col("value").isNull(), -1).otherwise(F.col("slot"))
+    binned = placed.groupBy("variable", "cuts", at_or_above.alias("b")).agg(
         F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col("n"))).alias("neg"))
     per = binned.groupBy("variable", "cuts").agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsieve.sources.files import read_table
+
 FEATURES = ["f_qty", "f_price", "f_disc", "f_tax", "f_line", "f_bin", "f_const", "f_quasi", "f_dup", "f_age", "f_age2"]
 CONTINUOUS = ["f_qty", "f_price", "f_disc", "f_tax", "f_line", "f_dup", "f_age", "f_age2"]
 DUP_FEATURES = ["l_linenumber", "l_discount", "l_tax", "l_quantity"]
@@ -13,7 +15,7 @@ DATASETS = {"d1": (1995, 1996), "d2": (1997, 1998), "d3": (1999, 2001)}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def main_raw(spark: SparkSession, sf: str) -> DataFrame:
