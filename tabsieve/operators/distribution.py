@@ -68,11 +68,11 @@ def bucket_by_sketch(
 ) -> DataFrame:
     """Add an order-preserving bucket of about equal row count per group (heavy values stay whole)."""
     probs = [i / buckets for i in range(1, buckets)]
-    tagged = df if groups else df.withColumn("_all", F.lit(0))
-    keys = list(groups) or ["_all"]
+    tagged = df if groups else df.withColumn("_one", F.lit(0))
+    keys = list(groups) or ["_one"]
     edges = tagged.groupBy(*keys).agg(F.percentile_approx(value, probs, 10 * buckets).alias("_edges"))
     placed = locate(tagged.join(edges, keys), "_edges", F.col(value), buckets, name)
-    return placed.drop("_edges", "_all")
+    return placed.drop("_edges", "_one")
 
 
 def running_totals(

@@ -107,12 +107,12 @@ def c09(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _at(grid: str) -> str:
-    return f"""at AS (SELECT threshold, count(*) FILTER (WHERE label = 0 AND score < threshold) AS tn,
+    return f"""grid AS (SELECT threshold, count(*) FILTER (WHERE label = 0 AND score < threshold) AS tn,
   count(*) FILTER (WHERE label = 0 AND score >= threshold) AS fp, count(*) FILTER (WHERE label = 1 AND score < threshold) AS fn,
   count(*) FILTER (WHERE label = 1 AND score >= threshold) AS tp FROM fpred, ({grid}) GROUP BY threshold)"""
 
 
-@query("c10_operating_points", fx.with_sql(M, P, _at("SELECT unnest([0.25, 0.5, 0.755]::DOUBLE[]) AS threshold"), body=f"SELECT threshold, tn, fp, fn, tp, {SQL_FUN} FROM at"))
+@query("c10_operating_points", fx.with_sql(M, P, _at("SELECT unnest([0.25, 0.5, 0.755]::DOUBLE[]) AS threshold"), body=f"SELECT threshold, tn, fp, fn, tp, {SQL_FUN} FROM grid"))
 def c10(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(mt.metrics_at(fx.predictions(spark, sf), [0.25, 0.5, 0.755]), *RATES)
 
@@ -133,7 +133,7 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 GRID91 = "SELECT round(CAST(0.05 AS DOUBLE) + CAST(0.9 AS DOUBLE) * i / 90, 12) AS threshold FROM range(91) t(i)"
-SQL_COST = "cost AS (SELECT threshold, ratio, (fn * ratio + fp) / CAST(tn + fp + fn + tp AS DOUBLE) AS cost FROM at, (SELECT unnest([1, 3, 5, 10]::INTEGER[]) AS ratio))"
+SQL_COST = "cost AS (SELECT threshold, ratio, (fn * ratio + fp) / CAST(tn + fp + fn + tp AS DOUBLE) AS cost FROM grid, (SELECT unnest([1, 3, 5, 10]::INTEGER[]) AS ratio))"
 
 
 @query("c13_expected_cost", fx.with_sql(M, P, _at(GRID91), SQL_COST, body="SELECT threshold, ratio, round(cost, 6) AS cost FROM cost"))
@@ -148,7 +148,7 @@ def c13b(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("c14_best_threshold_on_grid", fx.with_sql(M, P, _at("SELECT round(CAST(0.01 AS DOUBLE) + CAST(0.98 AS DOUBLE) * i / 196, 12) AS threshold FROM range(197) t(i)"), body="""
-SELECT threshold, round(f1, 6) AS f1 FROM (SELECT threshold, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM at) ORDER BY f1 DESC, threshold LIMIT 1"""))
+SELECT threshold, round(f1, 6) AS f1 FROM (SELECT threshold, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM grid) ORDER BY f1 DESC, threshold LIMIT 1"""))
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(mt.best_threshold(fx.predictions(spark, sf)), "f1")
 
