@@ -32,6 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a private one only where none is configured."""
     shared = spark.conf.get(CHECKPOINT_CONF, None)
     if shared:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(shared)
         return shared
     current = spark.sparkContext.getCheckpointDir()
     if current:
