@@ -16,12 +16,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from tabsieve.operators.metrics import binary_metrics
 from tabsieve.operators.split import learning_sizes, stratified_kfold
+from tabsieve.session import ensure_checkpoint_dir
 from tabsieve.sources.files import union_all
 
 PARALLEL = 4
@@ -34,7 +35,9 @@ def parallel(tasks: Sequence[Callable[[], object]], threads: int = PARALLEL) ->
     if len(tasks) < 2:
         return [t() for t in tasks]
     with ThreadPool(min(threads, len(tasks))) as pool:
-        return pool.map(inheritable_thread_target(lambda t: t()), list(tasks))
+        spark = SparkSession.getActiveSession()
+        run = inheritable_thread_target(spark)(lambda t: t()) if spark else (lambda t: t())
+        return pool.map(run, list(tasks))
 
 
 def out_of_fold(
@@ -68,7 +71,9 @@ def cross_validate(df: DataFrame, estimators: Mapping[str, Estimator], k: int =
                    label: str = "label", key: str = "row_id", resample: Resampler | None = None,
                    areas: bool = True) -> DataFrame:
     """(model, fold, metric..., fit_time_s): the fold scores, kept for paired tests."""
-    oof = out_of_fold(df, estimators, k, seed, label, key, resample)
+    # Written once: the metrics below read it several times, and its plan holds every fitted model.
+    ensure_checkpoint_dir(df.sparkSession)
+    oof = out_of_fold(df, estimators, k, seed, label, key, resample).checkpoint()
     m = binary_metrics(oof, score="score" if areas else None, by=["model", "fold"])
     spent = oof.groupBy("model", "fold").agg(F.max("fit_time_s").alias("fit_time_s"))
     return m.join(spent, ["model", "fold"])
@@ -153,7 +158,8 @@ def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int =
                     *tag, F.lit("validation").alias("side"), *KEEP))
         return run
 
-    preds = union_all(parallel([task(s, f) for s in range(1, steps + 1) for f in range(k)]))
+    ensure_checkpoint_dir(df.sparkSession)
+    preds = union_all(parallel([task(s, f) for s in range(1, steps + 1) for f in range(k)])).checkpoint()
     m = binary_metrics(preds, score=None, by=["step", "fold", "side"])
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     side = lambda s, c: F.max(F.when(F.col("side") == s, c))
@@ -165,6 +171,8 @@ def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int =
 
 def transfer_matrix(sets: Mapping[str, DataFrame], estimator: Estimator) -> DataFrame:
     """(origin, target, metrics...): one fit per origin, scored on every set."""
+    ensure_checkpoint_dir(next(iter(sets.values())).sparkSession)
+
     def task(origin: str) -> Callable[[], list[DataFrame]]:
         def run() -> list[DataFrame]:
             model = estimator.fit(sets[origin])
@@ -172,7 +180,7 @@ def transfer_matrix(sets: Mapping[str, DataFrame], estimator: Estimator) -> Data
                     for t, d in sets.items()]
         return run
 
-    preds = union_all([p for chunk in parallel([task(o) for o in sets]) for p in chunk])
+    preds = union_all([p for chunk in parallel([task(o) for o in sets]) for p in chunk]).checkpoint()
     return binary_metrics(preds, by=["origin", "target"])
 
 
