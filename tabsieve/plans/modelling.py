@@ -459,15 +459,16 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g11_p12_protocol_replication")
 def g11(spark: SparkSession, sf: str) -> DataFrame:
-    rows = []
+    ensure_checkpoint_dir(spark)
+    preds = []
     for name, d in aligned_sets(spark, sf).items():
+        tagged = sp.stratified_holdout(d, "label").checkpoint()  # read by every fit and transform below
         for drop in (None, "rebate"):
             features = [c for c in ("size", "amount", "rebate") if c != drop]
-            tagged = sp.stratified_holdout(d.drop(drop) if drop else d, "label")
             train, test = sp.train_test(tagged)
-            held = mt.binary_metrics(ev.holdout(train, test, mo.build("tree", features, depth=4)))
-            rows.append(held.withColumns({"dataset": F.lit(name), "without": F.lit(drop or "")}))
-    return union_all(rows)
+            held = ev.holdout(train, test, mo.build("tree", features, depth=4))
+            preds.append(held.withColumns({"dataset": F.lit(name), "without": F.lit(drop or "")}))
+    return mt.binary_metrics(union_all(preds).checkpoint(), by=["dataset", "without"])
 
 
 @query("g12_j05_transfer_matrix")
@@ -582,7 +583,8 @@ def b01(spark: SparkSession, sf: str) -> DataFrame:
 @query("b05_b07_shift_and_recalibration")
 def b05(spark: SparkSession, sf: str) -> DataFrame:
     df = fx.main_null(spark, sf).select("row_id", "label", *USED)
-    imputed = pp.ColumnImputer(USED, "median", indicators=True).fit(df).transform(df)
+    ensure_checkpoint_dir(spark)
+    imputed = pp.ColumnImputer(USED, "median", indicators=True).fit(df).transform(df).checkpoint()
     cols = [*USED, "missingindicator_f_age"]
     out = []
     for scope, d in (("all", imputed), ("known_age", imputed.filter("missingindicator_f_age = 0"))):
@@ -596,13 +598,13 @@ def b05(spark: SparkSession, sf: str) -> DataFrame:
         measure = scored.filter("use = 'measure'")
         again = measure.withColumn("pred", (F.col("score") >= cut).cast("int"))
         size = train.count()
-        for name, p in (("shifted", measure), ("recalibrated", again)):
-            out.append(mt.binary_metrics(p).withColumns({"scope": F.lit(scope), "scenario": F.lit(name), "threshold": F.lit(
+        for name, p in (("shifted", measure.drop("use")), ("recalibrated", again.drop("use"))):
+            out.append(p.withColumns({"scope": F.lit(scope), "scenario": F.lit(name), "threshold": F.lit(
                 0.5 if name == "shifted" else float(cut))}))
         for seed in (1, 2):  # control: as many training rows, drawn at random
             pick = sp.sample_rows(d, size, seed).persist()
             rest = d.join(pick.select("row_id"), "row_id", "left_anti")
             control = ev.holdout(pick, rest, mo.build("tree", cols, depth=6))
-            out.append(mt.binary_metrics(control).withColumns({
+            out.append(control.withColumns({
                 "scope": F.lit(scope), "scenario": F.lit(f"random_{seed}"), "threshold": F.lit(0.5)}))
-    return union_all(out)
+    return mt.binary_metrics(union_all(out).checkpoint(), by=["scope", "scenario", "threshold"])
