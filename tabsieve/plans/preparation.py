@@ -13,6 +13,7 @@ from tabsieve.operators import split as sp
 from tabsieve.plans import fixtures as fx
 from tabsieve.plans.profiling import SQL_BINS, SQL_SCORES, fold_scores, rnd
 from tabsieve.plans.registry import query
+from tabsieve.session import ensure_checkpoint_dir
 
 M, N, S = fx.SQL_MAIN, fx.SQL_NULL, fx.SQL_SPLIT
 ORDER = "md5(concat_ws('|', '{seed}', row_id))"
@@ -128,8 +129,14 @@ def _impute_sql(expr: str, flags: bool = False) -> str:
                        "WHERE split = 'train') GROUP BY split")
 
 
+def _split_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """The split as a finished stage: fitting and transforming read it, not the plan behind it."""
+    ensure_checkpoint_dir(spark)
+    return fx.split_main(spark, sf).checkpoint()
+
+
 def _impute(spark: SparkSession, sf: str, strategy: str, flags: bool = False) -> DataFrame:
-    df = fx.split_main(spark, sf)
+    df = _split_stage(spark, sf)
     model = pp.ColumnImputer(fx.FEATURES, strategy, indicators=flags).fit(df.filter("split = 'train'"))
     measures = []
     for c in HOLES:
@@ -217,7 +224,7 @@ def _scale_sql(shift: str, scale: str) -> str:
 
 
 def _scale(spark: SparkSession, sf: str, method: str) -> DataFrame:
-    df = fx.split_main(spark, sf)
+    df = _split_stage(spark, sf)
     model = pp.ColumnScaler([*SCALED, "f_bin", "f_quasi"], method).fit(df.filter("split = 'train'"))
     out = model.transform(df).groupBy("split").agg(
         *[F.avg(c).alias(c) for c in SCALED], *[F.round(F.max(c), 6).alias(f"max_{c}") for c in SCALED],
