@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,7 +30,8 @@ def local_session(app: str = "tabsieve", cpus: int | None = None, memory: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only where none is configured."""
+    """The shared checkpoint folder of the session. Only a local session may fall back to a folder of its own:
+    on a cluster the executors could not read it, so a missing setting is an error there."""
     shared = spark.conf.get(CHECKPOINT_CONF, None)
     if shared:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -38,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     fresh = tempfile.mkdtemp(prefix="tabsieve-checkpoint-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
