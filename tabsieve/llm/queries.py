@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import exact_dedup, near_dedup, substring_dedup
+from tabsieve.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +90,79 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS lo FROM r
 @_query("op3_near_dedup", NEAR_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_components(_documents(spark, sf))
+
+
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS c FROM p),
+r AS (SELECT doc_id, count(DISTINCT j) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM k WHERE c > 1) GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+b AS (SELECT d.doc_id, t, w, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words
+      FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^a-z]', '', 'g'))
+            OR 100 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 30 * n_words
+            OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) < 50 * n_words) AS kept
+FROM f
+"""
+
+
+@_query("op5_quality_rules", QUALITY_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf))
+
+
+MIXING_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size,
+                  ('0x' || substr(md5('42|' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+      FROM d GROUP BY source),
+o AS (SELECT *, sum(ss) OVER () AS total, sum(w) OVER () AS ws, row_number() OVER (ORDER BY 3.0 * ss / w, source NULLS LAST) AS k,
+             sum(3 * ss) OVER q - 3 * ss AS capped, sum(w) OVER q - w AS wc
+      FROM s WINDOW q AS (ORDER BY 3.0 * ss / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT k, total - capped AS rest, ws - wc AS wr FROM o WHERE (total - capped) * w <= 3 * ss * (ws - wc) ORDER BY k LIMIT 1),
+t AS (SELECT source, ss, CASE WHEN o.k < c.k THEN (3 * ss)::DOUBLE ELSE (rest * w)::DOUBLE / wr::DOUBLE END AS target FROM o, c),
+n AS (SELECT source, ss, target, CASE WHEN ss > 0 THEN floor(target)::BIGINT // ss ELSE 1 END AS passes,
+             CASE WHEN ss > 0 THEN floor(target)::BIGINT % ss ELSE 0 END AS rest FROM t),
+x AS (SELECT d.*, n.*, sum(size) OVER (PARTITION BY n.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS cum
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, ss AS source_size, target,
+       (size * (passes + CASE WHEN rest > 0 AND 2 * cum - size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+"""
+
+
+@_query("op6_source_mixing", MIXING_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf))
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column(1)
+        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
+        of_ids = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        of_bytes = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array((offsets[1:] - offsets[:-1]).astype("int64")), pa.array(of_ids), pa.array(of_bytes)],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.decode(ids, ranks, public_tokenizers.PATTERN).mapInArrow(
+        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@_query("op8_byte_bpe")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return token_digests(_documents(spark, sf))

@@ -36,11 +36,11 @@ def kept_digest(words: list[bytes], keep: np.ndarray) -> tuple:
     return (hashlib.sha256(b" ".join([w for w, k in zip(words, keep, strict=True) if k])).hexdigest(),)
 
 
-def _hashed(batch: pa.RecordBatch, least: int) -> Iterator[tuple]:
+def _hashed(batch: pa.RecordBatch, least: int, whole: bool = False) -> Iterator[tuple]:
     """(ids, first words of the rows, their numbers of words, all words' hashes) by groups of rows."""
     data, offsets = utf8(batch.column(1))
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    for lo, hi in groups(offsets):
+    for lo, hi in [(0, len(ids))] if whole else groups(offsets):
         part, local = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         starts, ends, bounds = spans(part, local)
         if len(starts) >= least:
@@ -78,7 +78,7 @@ def _windows(window: int) -> Callable:
             for part in _rows(batch):
                 ids, texts, hits, later = part
                 for _, firsts, counts, hashes in _hashed(
-                        pa.RecordBatch.from_arrays([pa.array(ids), texts], names=["doc", "text"]), window):
+                        pa.RecordBatch.from_arrays([pa.array(ids), texts], names=["doc", "text"]), window, whole=True):
                     total = len(hashes)
                     marks = np.zeros((2, total + 1), dtype=np.int32)
                     for r, (pos, late) in enumerate(zip(hits, later, strict=True)):
