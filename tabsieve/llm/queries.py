@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup
+from tabsieve.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
+from tabsieve.llm.license_scan import CAPITALS, SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,3 +167,67 @@ def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 @_query("op8_byte_bpe")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return token_digests(_documents(spark, sf))
+
+_RULE_VALUES = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in url_filter.RULES)
+_HOST_SQL = f"translate(regexp_extract(coalesce({{u}}, ''), '^.*?://([^/?#]*)', 1, 's'), '{CAPITALS}', '{SMALL}')"
+_PATH_SQL = "regexp_extract(coalesce({u}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_NODE_SQL = _HOST_SQL + " || regexp_extract(coalesce({u}, ''), '^.*?://[^/?#]*([^#]*)', 1, 's')"
+_FIT_SQL = """(SELECT {what} FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))"""
+
+# The twin takes absolute and rooted link targets; the tables hold no others.
+URL_SQL = rf"""
+WITH RECURSIVE rules(rv, rh, rp, r) AS (VALUES {_RULE_VALUES}),
+t AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0),
+                                         '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                          regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0),
+                                         '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS x FROM pages),
+e AS (SELECT url AS src, CASE WHEN contains(x, '://') THEN x ELSE 'http://' || {_HOST_SQL.format(u='url')} || x END AS dst
+      FROM t WHERE x <> '' AND contains(coalesce(url, ''), '://')),
+k AS (SELECT {_NODE_SQL.format(u='src')} AS a, {_NODE_SQL.format(u='dst')} AS b, src, dst FROM e),
+u AS (SELECT a, b FROM k UNION SELECT b, a FROM k UNION SELECT a, a FROM k UNION SELECT b, b FROM k),
+c AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a),
+n AS (SELECT a AS node, {_HOST_SQL.format(u='src')} AS host, {_PATH_SQL.format(u='src')} AS path FROM k
+      UNION SELECT b, {_HOST_SQL.format(u='dst')}, {_PATH_SQL.format(u='dst')} FROM k),
+v AS (SELECT node, {_FIT_SQL.format(what="arg_max(rv, length(r))")} AS rv FROM n),
+al AS (SELECT c.a AS node, bool_or(rv = 'allow') AS allowed FROM c JOIN v ON v.node = c.b WHERE rv IS NOT NULL GROUP BY 1),
+p AS (SELECT page_id, {_HOST_SQL.format(u='url')} AS host, {_PATH_SQL.format(u='url')} AS path,
+             {_NODE_SQL.format(u='url')} AS node FROM pages),
+j AS (SELECT p.*, {_FIT_SQL.format(what="arg_max(r, length(r))")} AS rule, {_FIT_SQL.format(what="arg_max(rv, length(r))")} AS rv FROM p)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' END, 'allow') AS verdict
+FROM j LEFT JOIN al USING (node)
+"""
+
+
+@_query("op4_url_filters", URL_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_pages(_pages(spark, sf))
+
+
+_PAIR_VALUES = ", ".join(
+    f"({n}, '{x}', {str(e).lower()}, {m}, {j}, '{a}', '{b}')" for n, x, e, m, j, a, b in license_scan.template_list())
+
+LICENSE_SQL = rf"""
+WITH tp(t, label, exact, m, j, a, b) AS (VALUES {_PAIR_VALUES}),
+d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+v AS (SELECT doc_id, t, label, exact, m, i - j AS g, bit_or((1::BIGINT << j)) AS mask, min(i) AS i FROM p JOIN tp USING (a, b)
+      GROUP BY 1, 2, 3, 4, 5, 6),
+s AS (SELECT x.doc_id, x.t, x.label, x.exact, x.m, x.g, min(y.i) AS i,
+             bit_count(bit_or(y.mask)) / x.m AS share
+      FROM v x JOIN v y ON x.doc_id = y.doc_id AND x.t = y.t AND (abs(x.g - y.g) <= {license_scan.NEAR} AND NOT x.exact OR x.g = y.g)
+      GROUP BY 1, 2, 3, 4, 5, 6),
+f AS (SELECT * FROM s WHERE exact AND share = 1 OR NOT exact AND share >= {license_scan.COVERAGE} AND NOT EXISTS (
+        SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.t = s.t AND abs(o.g - s.g) <= {license_scan.NEAR}
+          AND (o.share > s.share OR o.share = s.share AND o.g < s.g))),
+r AS (SELECT doc_id, count(*) FILTER (exact) AS n_base, min(i) FILTER (exact) AS first_word, max(i) FILTER (exact) AS last_word,
+             array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
+             array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM f GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
+@_query("op10_license_scans", LICENSE_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan_documents(_documents(spark, sf))
