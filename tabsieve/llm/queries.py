@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
+from tabsieve.llm import bpe, exact_dedup, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
 from tabsieve.llm.license_scan import CAPITALS, SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,3 +231,9 @@ FROM d LEFT JOIN r USING (doc_id)
 @_query("op10_license_scans", LICENSE_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan.scan_documents(_documents(spark, sf))
+
+
+@_query("op9_language_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    out = langid.identify(_documents(spark, sf), learn=~langid.held_out())
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
