@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, exact_dedup, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
+from tabsieve.llm import bpe, exact_dedup, html_text, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
 from tabsieve.llm.license_scan import CAPITALS, SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,3 +237,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = langid.identify(_documents(spark, sf), learn=~langid.held_out())
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op7_html_extraction")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    out = html_text.extract(_pages(spark, sf))
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
