@@ -191,15 +191,10 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     usable = signed_docs.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = written(usable.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n")
-    stars = written(members.groupBy("bucket").agg(F.min("doc").alias("hub"), F.min_by("n", "doc").alias("na"),
-                                                  F.count(F.lit(1)).alias("size")).filter("size > 1"), "stars")
-    edges = (members.withColumnRenamed("n", "nb").join(stars, "bucket").filter((F.col("doc") != F.col("hub")) & _similar_size(percent))
-             .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    edges = written(edges, "edges")
-    if edges.isEmpty() and stars.isEmpty():
-        links = edges
-    else:
-        links = _links(docs, edges, members, stars, shingle, percent)
+    stars = written(members.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("size"))
+                    .filter("size > 1"), "stars")
+    met = written(members.join(stars, "bucket"), "met")  # only buckets of two documents or more
+    links = _links(docs, met, shingle, percent)
     nodes = connected_components(links, "a", "b")
     named = classes.join(nodes, F.col("rep") == F.col("node"), "left").select(
         "k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
@@ -211,8 +206,11 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
-def _links(docs: DataFrame, edges: DataFrame, members: DataFrame, stars: DataFrame, shingle: int, percent: int) -> DataFrame:
-    wanted = members.join(stars.select("bucket"), "bucket").select("doc").distinct()
+def _links(docs: DataFrame, met: DataFrame, shingle: int, percent: int) -> DataFrame:
+    edges = written(met.filter(F.col("doc") != F.col("hub")).select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return edges
+    wanted = met.select("doc").distinct()
     texts = written(docs.filter(F.col("doc").isNotNull()).mapInArrow(_pack, "doc long, packed binary")
                     .join(written(wanted, "wanted"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
 
@@ -224,7 +222,7 @@ def _links(docs: DataFrame, edges: DataFrame, members: DataFrame, stars: DataFra
     links = confirmed(edges, "links")
     labels = written(connected_components(links, "a", "b"), "labels")
     inside = written(
-        members.join(stars.select("bucket", "size"), "bucket").join(labels, F.col("doc") == F.col("node"), "left")
+        met.join(labels, F.col("doc") == F.col("node"), "left")
         .select("bucket", "doc", "n", "size", F.coalesce("component", "doc").alias("label")), "inside")
     mixed = written(inside.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                     .filter("lo < hi").select("bucket"), "mixed")
