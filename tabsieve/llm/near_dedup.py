@@ -2,7 +2,7 @@
 
 A document's set holds its distinct word shingles. One hash function deals the shingles to BINS bins;
 each bin keeps its smallest hash, and an empty bin copies the bin that a fixed random sequence of its
-own reaches first (optimal densification). BANDS bands of ROWS bins make the bucket keys.
+own reaches first (optimal densification). Bands of several bins make the bucket keys.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from tabsieve.llm.components import connected_components
 from tabsieve.llm.stages import written
 from tabsieve.llm.words import groups, hash_windows, hash_words, lower_ascii, mix, signed, spans, utf8
 
-BANDS, ROWS = 32, 8
-BINS = BANDS * ROWS
+BINS = 256
+#: Probability at which a link of exactly the required similarity may share no bucket.
+MISS = 1e-4
 #: Buckets up to this size are completed pair by pair, larger ones in blocks of BLOCK documents.
 SMALL_BUCKET, BLOCK = 64, 256
 _TRIES = 4096
@@ -70,15 +71,24 @@ def signatures(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(len(sig), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
-    for j in range(ROWS):
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, bins of a band): the longest bands that miss a link with probability MISS at most."""
+    fits = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISS]
+    rows = max(fits, default=1)
+    return BINS // rows, rows
+
+
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    parts = sig[:, :bands * rows].reshape(len(sig), bands, rows)
+    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for j in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
     return out
 
 
-def _sign(k: int) -> Callable:
+def _sign(k: int, percent: int) -> Callable:
+    shape = banding(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -89,10 +99,10 @@ def _sign(k: int) -> Callable:
                 if len(rows):
                     np.add.at(key[0], rows, mix(values))
                     np.add.at(key[1], rows, mix(values ^ np.uint64(0xA0761D6478BD642F)))
-                bands = _band_keys(signatures(rows, values, n))
+                bands = _band_keys(signatures(rows, values, n), *shape)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, n), pa.array(sizes.astype(np.int64)), pa.array(signed(key[0])), pa.array(signed(key[1])),
-                     pa.FixedSizeListArray.from_arrays(pa.array(signed(bands.ravel())), BANDS).cast(pa.list_(pa.int64()))],
+                     pa.FixedSizeListArray.from_arrays(pa.array(signed(bands.ravel())), shape[0]).cast(pa.list_(pa.int64()))],
                     names=["doc", "n", "k1", "k2", "bands"])
     return run
 
@@ -180,14 +190,14 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     give components, and buckets that still hold several components are completed: small ones pair by
     pair across components, large ones in blocks whose overlaps are counted by matrix products without
     emitting pairs. Every link is confirmed on the full sets. What the buckets miss is the MinHash
-    error: a link at exactly 85 percent shares no bucket with probability 4e-5.
+    error, at most MISS for a link of exactly `percent`.
 
     Null and empty texts have no shingles and are linked with nothing. Rows without a key are linked
     with nothing and have a null component; they are kept. Rows that repeat a key are one node. Other
     columns are ignored; an empty table gives an empty result.
     """
     docs = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    signed_docs = written(docs.mapInArrow(_sign(shingle), "doc long, n long, k1 long, k2 long, bands array<long>"), "signatures")
+    signed_docs = written(docs.mapInArrow(_sign(shingle, percent), "doc long, n long, k1 long, k2 long, bands array<long>"), "signatures")
     usable = signed_docs.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = written(usable.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n")
