@@ -205,9 +205,11 @@ def _predict(shared: Any) -> Callable:
                 starts, ends, bounds = spans(part, offsets[lo:hi + 1] - offsets[lo])
                 hashes = hash_words(part, starts, ends)
                 distinct, at, number = np.unique(hashes, return_index=True, return_inverse=True)
-                e = _emissions(model.weights, *features(part, starts[at], ends[at], distinct))[number]
                 counts = np.diff(bounds)
-                share = expected_words(e, counts, model.transitions) if model.languages else np.zeros((hi - lo, 0))
+                share = np.zeros((hi - lo, 0))
+                if model.languages:
+                    e = _emissions(model.weights, *features(part, starts[at], ends[at], distinct))[number]
+                    share = expected_words(e, counts, model.transitions)
                 lettered = np.array([
                     t is not None and bool(model.languages) and _LETTER.search(t) is not None
                     for t in batch.column(1).slice(lo, hi - lo).to_pylist()], dtype=bool)
