@@ -1,6 +1,6 @@
 """Evaluation protocol: cross-validation, search, nested validation, ensembles, transfer.
 
-A frame is tagged with folds once and cached; every (model, fold) fit runs as its own Spark jobs,
+A frame is tagged with folds once and cached while it is read; every (model, fold) fit runs as its own Spark jobs,
 several at a time from a small thread pool; the validation predictions of all models and folds
 are unioned lazily and scored by one aggregation grouped by (model, fold).
 """
@@ -14,13 +14,13 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from tabsieve.operators.metrics import binary_metrics
+from tabsieve.operators.models import Linear
 from tabsieve.operators.split import learning_sizes, stratified_kfold
 from tabsieve.session import ensure_checkpoint_dir
 from tabsieve.sources.files import union_all
@@ -46,10 +46,10 @@ def out_of_fold(
 ) -> DataFrame:
     """(model, fold, row_id, label, pred, score, fit_time_s): one prediction per row and model.
 
-    `df` may already carry a `fold` column; resampling only ever touches the training side.
+    `df` may already carry a `fold` column; resampling only ever touches the training side. Every fit reads
+    the table again, so callers cache it (`cross_validate` does).
     """
-    tagged = df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)
-    spread = tagged.repartition(tagged.sparkSession.sparkContext.defaultParallelism).persist()
+    spread = df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)
     folds = sorted(r["fold"] for r in spread.select("fold").distinct().collect())
 
     def task(name: str, est: Estimator, fold: int) -> Callable[[], DataFrame]:
@@ -73,7 +73,11 @@ def cross_validate(df: DataFrame, estimators: Mapping[str, Estimator], k: int =
     """(model, fold, metric..., fit_time_s): the fold scores, kept for paired tests."""
     # Written once: the metrics below read it several times, and its plan holds every fitted model.
     ensure_checkpoint_dir(df.sparkSession)
-    oof = out_of_fold(df, estimators, k, seed, label, key, resample).checkpoint()
+    tagged = (df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)).persist()
+    try:
+        oof = out_of_fold(tagged, estimators, k, seed, label, key, resample).checkpoint()
+    finally:
+        tagged.unpersist()
     m = binary_metrics(oof, score="score" if areas else None, by=["model", "fold"])
     spent = oof.groupBy("model", "fold").agg(F.max("fit_time_s").alias("fit_time_s"))
     return m.join(spent, ["model", "fold"])
@@ -101,8 +105,9 @@ def best_non_dummy(table: DataFrame, n: int = 3, metric: str = "f1_mean") -> Dat
 
 
 def holdout(train: DataFrame, test: DataFrame, estimator: Estimator) -> DataFrame:
-    """Fit on all of train, score the reserved test once: the predictions table."""
-    return estimator.fit(train).transform(test).select(*KEEP)
+    """Fit on all of train, score the reserved test once: the predictions table, written once."""
+    ensure_checkpoint_dir(test.sparkSession)
+    return estimator.fit(train).transform(test).select(*KEEP).checkpoint()
 
 
 # ---- search ----------------------------------------------------------------------------------
@@ -160,6 +165,8 @@ def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int =
 
     ensure_checkpoint_dir(df.sparkSession)
     preds = union_all(parallel([task(s, f) for s in range(1, steps + 1) for f in range(k)])).checkpoint()
+    sized.unpersist()
+    valid.unpersist()
     m = binary_metrics(preds, score=None, by=["step", "fold", "side"])
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     side = lambda s, c: F.max(F.when(F.col("side") == s, c))
@@ -222,11 +229,7 @@ class StackModel(Model):
         for i, m in enumerate(self.members):
             names.append(f"_s{i}")
             out = m.transform(out).withColumnRenamed("score", f"_s{i}").drop("pred")
-        vec = VectorAssembler(inputCols=names, outputCol="_meta").transform(out)
-        scored = self.final.transform(vec)
-        return scored.withColumns({
-            "score": vector_to_array("probability")[1], "pred": F.col("prediction").cast("int"),
-        }).drop("_meta", "rawPrediction", "probability", "prediction", *names)
+        return self.final.transform(out).drop(*names)
 
 
 class Stack(Estimator):
@@ -242,8 +245,7 @@ class Stack(Estimator):
         wide = oof.groupBy("row_id").agg(
             F.max("label").cast("double").alias("label"),
             *[F.max(F.when(F.col("model") == n, F.col("score"))).alias(f"_s{i}") for i, n in enumerate(names)])
-        meta = VectorAssembler(inputCols=[f"_s{i}" for i in range(len(names))], outputCol="_meta").transform(wide)
-        final = LogisticRegression(featuresCol="_meta", labelCol="label").fit(meta)
+        final = Linear(LogisticRegression(labelCol="label"), [f"_s{i}" for i in range(len(names))]).fit(wide)
         return StackModel(parallel([lambda e=e: e.fit(dataset) for e in self.members.values()]), final)
 
 
@@ -256,11 +258,10 @@ class CalibratedModel(Model):
         out = dataset
         for i, (model, cal) in enumerate(self.pairs):
             scored = model.transform(out).withColumnRenamed("score", "_raw").drop("pred")
-            vec = VectorAssembler(inputCols=["_raw"], outputCol="_rv").transform(scored)
             if self.method == "sigmoid":
-                p = cal.transform(vec).withColumn(f"_c{i}", vector_to_array("probability")[1])
-                out = p.drop("rawPrediction", "probability", "prediction", "_raw", "_rv")
+                out = cal.transform(scored).withColumnRenamed("score", f"_c{i}").drop("pred", "_raw")
             else:
+                vec = VectorAssembler(inputCols=["_raw"], outputCol="_rv").transform(scored)
                 out = cal.transform(vec).withColumnRenamed("prediction", f"_c{i}").drop("_raw", "_rv")
         n = len(self.pairs)
         mean = sum((F.col(f"_c{i}") for i in range(1, n)), F.col("_c0")) / n
@@ -282,9 +283,9 @@ class Calibrated(Estimator):
             model = self.base.fit(tagged.filter(F.col("fold") != fold).drop("fold"))
             held = model.transform(tagged.filter(F.col("fold") == fold)).select(
                 F.col("label").cast("double").alias("label"), F.col("score").alias("_raw"))
-            vec = VectorAssembler(inputCols=["_raw"], outputCol="_rv").transform(held)
             if self.method == "sigmoid":
-                return model, LogisticRegression(featuresCol="_rv", labelCol="label").fit(vec)
+                return model, Linear(LogisticRegression(labelCol="label"), ["_raw"]).fit(held)
+            vec = VectorAssembler(inputCols=["_raw"], outputCol="_rv").transform(held)
             return model, IsotonicRegression(featuresCol="_rv", labelCol="label").fit(vec)
 
         pairs = parallel([lambda f=f: pair(f) for f in range(self.k)])

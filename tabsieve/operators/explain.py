@@ -14,7 +14,7 @@ from tabsieve.operators.metrics import confusion, rates_from_counts
 from tabsieve.operators.split import sample_rows
 
 MAX_BACKGROUND = 200
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 100_000  # rows ranked by one task; changes no result
 
 
 def gain_importance(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
@@ -30,20 +30,25 @@ def permutation_importance(model: Model, df: DataFrame, features: Sequence[str],
                            metric: str = "f1", seed: int = 42, key: str = "row_id", label: str = "label") -> DataFrame:
     """(variable, mean, std): drop of the metric when a column is shuffled, over repeats.
 
-    Rows are put into hash buckets and each column is rotated by one place in hash order inside
-    its bucket, anew per repeat: every value is used exactly once and no bucket is large.
+    All rows are rotated by one place in hash order, anew per repeat: every row takes the values (nulls
+    too) of the next one, the last row those of the first. Ranges of the hash are ranked on their own and
+    the first row of each range is handed to the range before it, so the rotation is global at any size.
     """
     n = df.count()
     buckets = max(1, n // ROWS_PER_BUCKET)
     base = rates_from_counts(confusion(model.transform(df), label)).select(F.col(metric).alias("_base"))
     spread = df.select(key, label, *features).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     h = F.xxhash64(F.lit(seed), F.col("_rep"), F.col(key))
-    placed = spread.withColumns({"_h": h, "_b": F.pmod(F.xxhash64(h), F.lit(buckets))})
+    slot = F.shiftright(F.pmod(h, F.lit(2**40)) * F.lit(buckets), 40)
+    placed = spread.withColumns({"_h": F.pmod(h, F.lit(2**40)), "_b": slot, "_row": F.struct(*features)})
     w = Window.partitionBy("_rep", "_b").orderBy("_h", key)
-    first = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turned = placed.select(
-        key, label, "_rep", *features,
-        *[F.coalesce(F.lead(c).over(w), F.first(c).over(first)).alias(f"_p_{c}") for c in features])
+    heads = placed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("_rep", "_b", "_row")
+    ring = Window.partitionBy("_rep").orderBy("_b")  # one row per range
+    start = F.first("_row").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    handed = heads.select("_rep", "_b", F.coalesce(F.lead("_row").over(ring), start).alias("_after"))
+    turned = placed.withColumn("_next", F.lead("_row").over(w)).join(handed, ["_rep", "_b"]).withColumn(
+        "_p", F.when(F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("_after"))).select(
+        key, label, "_rep", *features, *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in features])
     variants = turned.withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(features))])))
     altered = variants.select(
         key, label, "_rep", F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_v") + 1).alias("variable"),

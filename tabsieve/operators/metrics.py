@@ -85,7 +85,7 @@ def score_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     cum = running_totals(bucket_by_sketch(h, groups, "score"), groups, "bucket", "score",
                          ["pos", "neg"], descending=True)
     totals = h.groupBy(*groups).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    out = cum.join(totals, groups).select(
+    out = cum.join(F.broadcast(totals), groups).select(  # one row per group of `by`, which is low-cardinality
         *groups, "score", "pos", "neg", F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp"), "p", "q")
     return out if by else out.drop("_all")
 

@@ -7,6 +7,7 @@ spirit; the randomised-trees entry is an approximation and says so.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, Transformer
@@ -43,6 +44,68 @@ class Predictions(Transformer):
         return out.drop("features", "rawPrediction", "probability", "prediction", "lda", "kernel")
 
 
+class LinearScores(Model):
+    """A fitted linear classifier as a plain expression of its columns, or of one vector column."""
+
+    def __init__(self, inputs: Sequence[str] | str, weights: Sequence[float], intercept: float):
+        super().__init__()
+        self.inputs, self.weights, self.intercept = inputs, [float(w) for w in weights], float(intercept)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        w = [F.lit(x) for x in self.weights]
+        if isinstance(self.inputs, str):
+            terms = F.zip_with(vector_to_array(self.inputs), F.array(*w), lambda a, b: a * b)
+            z = F.aggregate(terms, F.lit(self.intercept), lambda s, t: s + t)
+        else:
+            z = F.lit(self.intercept)
+            for c, x in zip(self.inputs, w, strict=True):
+                z = z + F.col(c).cast("double") * x
+        out = dataset.withColumn("_margin", z)
+        return out.withColumns({"score": 1.0 / (1.0 + F.exp(-F.col("_margin"))), "pred": (F.col("_margin") > 0).cast("int")}).drop("_margin")
+
+
+class Linear(Estimator):
+    """Fits a Spark ML linear classifier; only its coefficients enter the plan of a transform."""
+
+    def __init__(self, classifier: Estimator, inputs: Sequence[str] | str):
+        super().__init__()
+        self.classifier, self.inputs = classifier, inputs if isinstance(inputs, str) else list(inputs)
+
+    def _fit(self, dataset: DataFrame) -> LinearScores:
+        if not isinstance(self.inputs, str):
+            dataset = VectorAssembler(inputCols=self.inputs, outputCol="features").transform(dataset)
+        model = self.classifier.fit(dataset)
+        return LinearScores(self.inputs, model.coefficients.toArray(), model.intercept)
+
+
+class GaussianScores(Model):
+    """A fitted Gaussian naive Bayes model as a plain expression."""
+
+    def __init__(self, inputs: Sequence[str], priors: Sequence[float], means, variances):
+        super().__init__()
+        self.inputs, self.priors, self.means, self.variances = list(inputs), priors, means, variances
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        z = F.lit(float(self.priors[1] - self.priors[0]))
+        for i, c in enumerate(self.inputs):
+            for y, sign in ((1, 1.0), (0, -1.0)):
+                m, v = float(self.means[y][i]), float(self.variances[y][i])
+                gap = F.col(c).cast("double") - F.lit(m)
+                z = z - F.lit(sign) * (F.lit(0.5 * math.log(v)) + gap * gap / F.lit(2 * v))
+        out = dataset.withColumn("_margin", z)
+        return out.withColumns({"score": 1.0 / (1.0 + F.exp(-F.col("_margin"))), "pred": (F.col("_margin") > 0).cast("int")}).drop("_margin")
+
+
+class GaussianBayes(Estimator):
+    def __init__(self, classifier: NaiveBayes, inputs: Sequence[str]):
+        super().__init__()
+        self.classifier, self.inputs = classifier, list(inputs)
+
+    def _fit(self, dataset: DataFrame) -> GaussianScores:
+        model = self.classifier.fit(VectorAssembler(inputCols=self.inputs, outputCol="features").transform(dataset))
+        return GaussianScores(self.inputs, model.pi.toArray(), model.theta.toArray(), model.sigma.toArray())
+
+
 class ConstantModel(Model):
     """Majority class, or a hash-drawn class with the training prevalence."""
 
@@ -81,7 +144,7 @@ Factory = Callable[..., Estimator]
 
 
 def logistic(features, weighted=False, max_iter=100, reg=0.0, **kw) -> Estimator:
-    return on_columns(_weighted(LogisticRegression(maxIter=max_iter, regParam=reg, **kw), weighted), features)
+    return Linear(_weighted(LogisticRegression(maxIter=max_iter, regParam=reg, **kw), weighted), features)
 
 
 def sgd_logistic(features, weighted=False, alpha=1e-4, max_iter=20) -> Estimator:
@@ -90,7 +153,7 @@ def sgd_logistic(features, weighted=False, alpha=1e-4, max_iter=20) -> Estimator
 
 
 def linear_svm(features, weighted=False, max_iter=100, reg=0.0) -> Estimator:
-    return on_columns(_weighted(LinearSVC(maxIter=max_iter, regParam=reg), weighted), features, "rawPrediction")
+    return Linear(_weighted(LinearSVC(maxIter=max_iter, regParam=reg), weighted), features)
 
 
 def discriminant(features, weighted=False) -> Estimator:
@@ -99,14 +162,16 @@ def discriminant(features, weighted=False) -> Estimator:
 
 def nystroem_svm(features, weighted=False, components=300, gamma=None, seed=42, max_iter=50) -> Estimator:
     svm = _weighted(LinearSVC(featuresCol="kernel", maxIter=max_iter), weighted)
-    return Pipeline(stages=[Nystroem(features, "kernel", components, gamma, seed), svm, Predictions("rawPrediction")])
+    return Pipeline(stages=[Nystroem(features, "kernel", components, gamma, seed), Linear(svm, "kernel")])
 
 
 def gaussian_nb(features, weighted=False) -> Estimator:
-    return on_columns(_weighted(NaiveBayes(modelType="gaussian"), weighted), features)
+    return GaussianBayes(_weighted(NaiveBayes(modelType="gaussian"), weighted), features)
 
 
 def perceptron(features, weighted=False, hidden=(100,), max_iter=200, seed=42) -> Estimator:
+    if weighted:
+        raise ValueError("the perceptron takes no row weights")
     net = MultilayerPerceptronClassifier(layers=[len(features), *hidden, 2], maxIter=max_iter, seed=seed)
     return on_columns(net, features)
 
@@ -177,6 +242,7 @@ SPACES: dict[str, dict[str, tuple[str, float, float]]] = {
             "subsample": ("uniform", 0.6, 1.0), "min_rows": ("int", 1, 10)},
     "lgbm": {"iterations": ("int", 100, 600), "depth": ("int", 3, 12), "step": ("log", 0.01, 0.3),
              "subsample": ("uniform", 0.6, 1.0), "min_rows": ("int", 5, 100)},
+    "tree": {"depth": ("int", 2, 12), "minInstancesPerNode": ("int", 1, 100)},
     "forest": {"trees": ("int", 100, 400), "depth": ("int", 5, 30), "minInstancesPerNode": ("int", 1, 10)},
 }
 

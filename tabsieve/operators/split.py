@@ -8,8 +8,11 @@ stratum is ever sorted, shuffled or gathered, and every size is exact. The row k
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,31 +175,54 @@ def shift_split(
 
 
 def bootstrap_weight(replicate: Column, *key: Column) -> Column:
-    """Poisson(1) weight of a row in a replicate, from a hash (inverse distribution function)."""
+    """Poisson(1) weight of a row in a replicate, from a hash (inverse distribution function down to the
+    last value that a double can tell from the next)."""
     from tabsieve.functions.scalar import hash_uniform
 
     u = hash_uniform(replicate, *key)
-    cdf, p, k, expr = 0.0, 2.718281828459045**-1, 0, None
-    while k < 12:
+    cdf, p, k, expr = 0.0, math.exp(-1.0), 0, None
+    while cdf + p > cdf:
         cdf += p
         expr = F.when(u < cdf, k) if expr is None else expr.when(u < cdf, k)
         k += 1
         p /= k
-    return expr.otherwise(12)
+    return expr.otherwise(k)
+
+
+def poisson_draws(rate: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Exact Poisson draws by inversion: the values are taken in order of distance from the mode (in log
+    space, so any rate works) and their probabilities are subtracted from u until it is used up."""
+    mode = np.floor(rate)
+    log_top = mode * np.log(np.maximum(rate, 1e-300)) - rate - np.array([math.lgamma(m + 1) for m in mode])
+    left, out, open_ = u - np.exp(log_top), mode.copy(), np.ones(len(u), dtype=bool)
+    up, down = log_top.copy(), log_top.copy()
+    open_ &= left >= 0
+    step = 0
+    while open_.any():
+        step += 1
+        high, low = mode + step, mode - step
+        up = up + np.log(np.maximum(rate, 1e-300)) - np.log(high)
+        down = np.where(low >= 0, down + np.log(np.maximum(low + 1, 1)) - np.log(np.maximum(rate, 1e-300)), -np.inf)
+        for value, weight in ((high, np.exp(up)), (low, np.exp(down))):
+            left = np.where(open_, left - weight, left)
+            done = open_ & (left < 0)
+            out[done] = value[done]
+            open_ &= ~done
+        open_ &= ~((up < -745) & (down < -745))  # nothing is left to tell apart
+    return out
 
 
 def bootstrap_counts(count: Column, replicate: Column, *key: Column) -> Column:
-    """Total Poisson(1) weight of `count` identical rows: exact draws when few, else Cornish-Fisher."""
+    """Total Poisson(1) weight of `count` identical rows: one exact Poisson(count) draw, at any count."""
+    from pyspark.sql.functions import pandas_udf
+
     from tabsieve.functions.scalar import hash_uniform
 
-    few = F.aggregate(
-        F.sequence(F.lit(1), F.least(count, F.lit(30)).cast("int")), F.lit(0).cast("bigint"),
-        lambda acc, i: acc + bootstrap_weight(replicate, *key, i).cast("bigint"))
-    u1 = F.greatest(hash_uniform(replicate, *key, F.lit("a")), F.lit(2.0**-53))
-    u2 = hash_uniform(replicate, *key, F.lit("b"))
-    z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
-    many = F.greatest(F.round(count + F.sqrt(count.cast("double")) * z + (z * z - 1) / 6.0), F.lit(0.0))
-    return F.when(count <= 30, few).otherwise(many.cast("bigint"))
+    @pandas_udf("bigint")
+    def draw(rate: pd.Series, u: pd.Series) -> pd.Series:
+        return pd.Series(poisson_draws(rate.to_numpy("float64"), u.to_numpy("float64")).astype("int64"))
+
+    return draw(count.cast("double"), hash_uniform(replicate, *key))
 
 
 def train_test(df: DataFrame, name: str = "split") -> tuple[DataFrame, DataFrame]:

@@ -62,6 +62,26 @@ def main_null(spark: SparkSession, sf: str) -> DataFrame:
     return sentinel_to_null(main_raw(spark, sf), FEATURES)
 
 
+def model_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The main table with a label that models can learn: quantity, price and a missing age raise it, and a
+    hash of the row adds noise. About a third of the rows are positive."""
+    noise = F.conv(F.substring(F.md5(F.concat(F.lit("label|"), F.col("row_id"))), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    signal = F.col("f_qty") / 50 * 0.5 + F.col("f_price") / 100000 * 0.3 + (F.col("f_age") == -1).cast("double") * 0.2
+    return main_raw(spark, sf).withColumn("label", (signal + noise * 0.3 > 0.7).cast("int"))
+
+
+def model_null(spark: SparkSession, sf: str) -> DataFrame:
+    from tabsieve.operators.clean import sentinel_to_null
+
+    return sentinel_to_null(model_raw(spark, sf), FEATURES)
+
+
+def model_split(spark: SparkSession, sf: str) -> DataFrame:
+    from tabsieve.operators.split import stratified_holdout
+
+    return stratified_holdout(model_null(spark, sf), "label")
+
+
 SQL_NULL = "fnull AS (SELECT row_id, label, " + ", ".join(f"nullif({c}, -1) AS {c}" for c in FEATURES) + " FROM fmain)"
 
 

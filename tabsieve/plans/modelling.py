@@ -31,24 +31,15 @@ USED = ["f_qty", "f_price", "f_disc", "f_tax", "f_line", "f_bin", "f_quasi", "f_
 V = fx.SQL_VEC
 
 
-_STAGES: dict[tuple, tuple[DataFrame, list[str]]] = {}
-
-
 def prepared(spark: SparkSession, sf: str, scale: str = "standard") -> tuple[DataFrame, DataFrame, list[str]]:
-    """(train, test, columns): split, then median + indicator imputation and scaling fitted on train.
-
-    Checkpointed once per session and input, like any stage of the pipeline.
-    """
-    stage = (spark.sparkContext.applicationId, sf, scale)
-    if stage not in _STAGES:
-        _STAGES[stage] = _prepare(spark, sf, scale)
-    done, columns = _STAGES[stage]
+    """(train, test, columns): split, then median + indicator imputation and scaling fitted on train."""
+    done, columns = _prepare(spark, sf, scale)
     return done.filter("split = 'train'").drop("split"), done.filter("split = 'test'").drop("split"), columns
 
 
 def _prepare(spark: SparkSession, sf: str, scale: str) -> tuple[DataFrame, list[str]]:
     ensure_checkpoint_dir(spark)
-    df = fx.split_main(spark, sf).select("row_id", "label", "split", *USED).checkpoint()
+    df = fx.model_split(spark, sf).select("row_id", "label", "split", *USED).checkpoint()
     train = df.filter("split = 'train'")
     imputer = pp.ColumnImputer(USED, "median", indicators=True).fit(train)
     columns = imputer.output
@@ -246,6 +237,12 @@ def m23b(spark: SparkSession, sf: str) -> DataFrame:
     return _board(spark, sf, names, "none")
 
 
+@query("m24_three_best_models")
+def m24(spark: SparkSession, sf: str) -> DataFrame:
+    board = _board(spark, sf, ["dummy_majority", "logistic", "lda", "gaussian_nb", "tree"], "standard")
+    return ev.best_non_dummy(board)
+
+
 @query("m08_m09_nearest_leaderboard")
 def m08b(spark: SparkSession, sf: str) -> DataFrame:
     v = sp.stratified_kfold(fx.vector_columns(spark, sf), "label", 3)
@@ -275,7 +272,7 @@ def m22(spark: SparkSession, sf: str) -> DataFrame:
 @query("a36_m25_dataset_audit")
 def a36(spark: SparkSession, sf: str) -> DataFrame:
     rows = []
-    for name, d in aligned_sets(spark, sf).items():
+    for name, d in aligned_sets(spark, sf, learnable=True).items():
         features = ["size", "amount", "rebate"]
         best = pr.best_single_cut(d, features, "label").select(
             F.col("variable").alias("best_variable"), F.col("accuracy").alias("best_accuracy"))
@@ -341,7 +338,7 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
 
     assemble = VectorAssembler(inputCols=DIM_COLS, outputCol="features")
     pca = Pipeline(stages=[assemble, rd.PrincipalComponents(variance=0.9),
-                           LogisticRegression(featuresCol="pca", maxIter=20), mo.Predictions()])
+                           mo.Linear(LogisticRegression(featuresCol="pca", maxIter=20), "pca")])
     est = {"full": mo.build("logistic", DIM_COLS, max_iter=20), "half": mo.build("logistic", DIM_COLS[:32], max_iter=20),
            "pca": pca, "lda": mo.build("lda", DIM_COLS)}
     return ev.leaderboard(folds, est)
@@ -350,7 +347,6 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
 @query("k03_k06_embedded_selection")
 def k03(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf)
-    train = train.persist()
     picks = {"l1": se.select_l1(train, cols, max_iter=20), "forest": se.select_forest(train, cols, trees=10, depth=5),
              "boosted": se.select_boosted(train, cols, iterations=5, depth=3)}
     return spark.createDataFrame([(m, len(c), ", ".join(c)) for m, c in picks.items()],
@@ -362,7 +358,7 @@ def k05(spark: SparkSession, sf: str) -> DataFrame:
     from tabsieve.operators.choose import most_parsimonious
 
     train, _, cols = prepared(spark, sf)
-    folds = sp.stratified_kfold(train, "label", 3).persist()
+    folds = sp.stratified_kfold(train, "label", 3).checkpoint()
 
     def score(subset: list[str]) -> float:
         est = {"m": mo.build("logistic", subset, max_iter=10)}
@@ -380,7 +376,7 @@ def k05(spark: SparkSession, sf: str) -> DataFrame:
 def e08(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml import Pipeline
 
-    df = fx.split_main(spark, sf).filter("split = 'train'").select("row_id", "label", *USED)
+    df = fx.model_split(spark, sf).filter("split = 'train'").select("row_id", "label", *USED)
     folds = sp.stratified_kfold(df, "label", 3)
     est = {}
     for strategy in ("mean", "median", "most_frequent", "constant"):
@@ -422,18 +418,10 @@ def _ints(p: dict) -> dict:
 @query("g05_g07_random_search_history")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf, "none")
-    space = {"depth": ("int", 2, 6), "minInstancesPerNode": ("int", 1, 100)}
-    trials = ev.search(train, lambda **p: mo.build("tree", cols, **_ints(p)), mo.sample_space(space, 5))
+    trials = ev.search(train, lambda **p: mo.build("tree", cols, **_ints(p)), mo.sample_space(mo.SPACES["tree"], 10))
     return best_so_far(trials, "trial", "value")
 
 
-@query("g06_search_spaces")
-def g06(spark: SparkSession, sf: str) -> DataFrame:
-    n = fx.main_raw(spark, sf).agg(F.count(F.lit(1)).alias("rows"))
-    rows = [(m, i, k, float(v)) for m, s in mo.SPACES.items() for i, p in enumerate(mo.sample_space(s, 5)) for k, v in p.items()]
-    return spark.createDataFrame(rows, "model string, trial int, param string, value double").join(F.broadcast(n))
-
-
 @query("g08_tuned_refit")
 def g08(spark: SparkSession, sf: str) -> DataFrame:
     train, test, cols = prepared(spark, sf, "none")
@@ -461,7 +449,7 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
 def g11(spark: SparkSession, sf: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     preds = []
-    for name, d in aligned_sets(spark, sf).items():
+    for name, d in aligned_sets(spark, sf, learnable=True).items():
         tagged = sp.stratified_holdout(d, "label").checkpoint()  # read by every fit and transform below
         for drop in (None, "rebate"):
             features = [c for c in ("size", "amount", "rebate") if c != drop]
@@ -473,13 +461,16 @@ def g11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g12_j05_transfer_matrix")
 def g12(spark: SparkSession, sf: str) -> DataFrame:
-    sets = {k: d.persist() for k, d in aligned_sets(spark, sf).items()}
-    return ev.transfer_matrix(sets, mo.build("tree", ["size", "amount", "rebate"], depth=4))
+    sets = {k: d.persist() for k, d in aligned_sets(spark, sf, learnable=True).items()}
+    out = ev.transfer_matrix(sets, mo.build("tree", ["size", "amount", "rebate"], depth=4))
+    for d in sets.values():
+        d.unpersist()
+    return out
 
 
 def _seed_scores(spark: SparkSession, sf: str, seeds: list[int], models: dict) -> DataFrame:
     out = []
-    base = fx.main_null(spark, sf).select("row_id", "label", *USED).persist()
+    base = fx.model_null(spark, sf).select("row_id", "label", *USED).checkpoint()
     for s in seeds:
         train, _ = sp.train_test(sp.stratified_holdout(base, "label", seed=s))
         folds = ev.cross_validate(train, models, 3, seed=s, areas=False)
@@ -491,8 +482,11 @@ def _seed_scores(spark: SparkSession, sf: str, seeds: list[int], models: dict) -
 def g13(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml import Pipeline
 
-    models = {n: Pipeline(stages=[pp.ColumnImputer(USED, n), mo.build("tree", USED, depth=4)]) for n in ("mean", "constant")}
-    scores = _seed_scores(spark, sf, [42, 43, 44], models).withColumn("comparison", F.lit("imputation")).persist()
+    flags = [f"missingindicator_{c}" for c in ("f_age", "f_age2")]
+    models = {f"{n}_indicator": Pipeline(stages=[pp.ColumnImputer(USED, n, True), mo.build("tree", [*USED, *flags], depth=4)])
+              for n in ("median", "mean")}
+    ensure_checkpoint_dir(spark)
+    scores = _seed_scores(spark, sf, [42, 43, 44, 45, 46], models).withColumn("comparison", F.lit("imputation")).checkpoint()
     return pr.seed_summary(scores, ["model"]).join(
         pr.winner_counts(scores, "comparison", "seed", "model", "value"), "model", "left")
 
@@ -501,11 +495,11 @@ def g13(spark: SparkSession, sf: str) -> DataFrame:
 def g14(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml import Pipeline
 
-    df = fx.main_null(spark, sf).select("row_id", "label", *USED)
+    df = fx.model_null(spark, sf).select("row_id", "label", *USED)
     flags = [f"missingindicator_{c}" for c in ("f_age", "f_age2")]
     est = {
-        "median": Pipeline(stages=[pp.ColumnImputer(USED, "mean"), mo.build("tree", USED, depth=4)]),
-        "median_indicator": Pipeline(stages=[pp.ColumnImputer(USED, "mean", True), mo.build("tree", [*USED, *flags], depth=4)]),
+        "median": Pipeline(stages=[pp.ColumnImputer(USED, "median"), mo.build("tree", USED, depth=4)]),
+        "median_indicator": Pipeline(stages=[pp.ColumnImputer(USED, "median", True), mo.build("tree", [*USED, *flags], depth=4)]),
         "null_bin": Pipeline(stages=[pp.NullBinEncoder(USED, 16), mo.build("tree", USED, depth=4)]),
     }
     return ev.leaderboard(sp.stratified_kfold(df, "label", 3), est, areas=False)
@@ -538,27 +532,31 @@ def h01(spark: SparkSession, sf: str) -> DataFrame:
 @query("h02_permutation_importance")
 def h02(spark: SparkSession, sf: str) -> DataFrame:
     model, _, test, cols = _explained(spark, sf)
-    return ex.permutation_importance(model, test, cols, repeats=10, metric="accuracy")
-
-
-EXPLAINED_ROWS = 3000  # the protocol's own sample size for attribution
+    return ex.permutation_importance(model, test, cols, repeats=10, metric="f1")
 
 
 @query("h03_h05_shapley_attribution")
 def h03(spark: SparkSession, sf: str) -> DataFrame:
     model, train, test, cols = _explained(spark, sf)
-    rows = sp.sample_rows(test, EXPLAINED_ROWS)
-    values = ex.shapley(model, rows, train, cols, permutations=4).checkpoint()
-    spread = ex.dependence(values, rows, cols).groupBy("variable").agg(
+    values = ex.shapley(model, test, train, cols, permutations=4).checkpoint()
+    spread = ex.dependence(values, test, cols).groupBy("variable").agg(
         F.min("value").alias("value_min"), F.max("value").alias("value_max"))
     return ex.global_attribution(values).join(spread, "variable")
 
 
+@query("h04_local_explanation")
+def h04(spark: SparkSession, sf: str) -> DataFrame:
+    """Contributions to the score of the test row that the model is surest about."""
+    model, train, test, cols = _explained(spark, sf)
+    surest = model.transform(test).orderBy(F.desc("score"), "row_id").first()["row_id"]
+    values = ex.shapley(model, test.filter(F.col("row_id") == surest), train, cols, permutations=16)
+    return ex.local_explanation(values, surest)
+
+
 @query("h06_pair_interactions")
 def h06(spark: SparkSession, sf: str) -> DataFrame:
     model, train, test, cols = _explained(spark, sf)
-    rows = sp.sample_rows(test, EXPLAINED_ROWS)
-    return ex.pair_interactions(model, rows, train, cols, draws=1).orderBy(F.desc("mean_abs"), "a", "b").limit(15)
+    return ex.pair_interactions(model, test, train, cols, draws=1).orderBy(F.desc("mean_abs"), "a", "b").limit(15)
 
 
 # ---- robustness ------------------------------------------------------------------------------
@@ -582,18 +580,19 @@ def b01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("b05_b07_shift_and_recalibration")
 def b05(spark: SparkSession, sf: str) -> DataFrame:
-    df = fx.main_null(spark, sf).select("row_id", "label", *USED)
     ensure_checkpoint_dir(spark)
-    imputed = pp.ColumnImputer(USED, "median", indicators=True).fit(df).transform(df).checkpoint()
+    df = fx.model_split(spark, sf).select("row_id", "label", "split", *USED).checkpoint()
+    imputer = pp.ColumnImputer(USED, "median", indicators=True).fit(df.filter("split = 'train'").drop("split"))
+    imputed = imputer.transform(df.drop("split")).checkpoint()
     cols = [*USED, "missingindicator_f_age"]
     out = []
     for scope, d in (("all", imputed), ("known_age", imputed.filter("missingindicator_f_age = 0"))):
-        tagged = sp.shift_split(d, "f_age").persist()
+        tagged = sp.shift_split(d, "f_age").checkpoint()
         train = tagged.filter("part = 'train'").drop("part")
         model = mo.build("tree", cols, depth=6).fit(train)
         shifted = sp.stratified_holdout(tagged.filter("part = 'shifted'").drop("part"), "label", 0.3, name="use",
-                                        first="calibrate", rest="measure").persist()
-        scored = model.transform(shifted).select("row_id", "label", "pred", "score", "use").persist()
+                                        first="calibrate", rest="measure").checkpoint()
+        scored = model.transform(shifted).select("row_id", "label", "pred", "score", "use").checkpoint()
         cut = mt.best_threshold(scored.filter("use = 'calibrate'")).first()["threshold"]
         measure = scored.filter("use = 'measure'")
         again = measure.withColumn("pred", (F.col("score") >= cut).cast("int"))
@@ -601,8 +600,8 @@ def b05(spark: SparkSession, sf: str) -> DataFrame:
         for name, p in (("shifted", measure.drop("use")), ("recalibrated", again.drop("use"))):
             out.append(p.withColumns({"scope": F.lit(scope), "scenario": F.lit(name), "threshold": F.lit(
                 0.5 if name == "shifted" else float(cut))}))
-        for seed in (1, 2):  # control: as many training rows, drawn at random
-            pick = sp.sample_rows(d, size, seed).persist()
+        for seed in (1, 2, 3, 4, 5):  # control: as many training rows, drawn at random
+            pick = sp.sample_rows(d, size, seed).checkpoint()
             rest = d.join(pick.select("row_id"), "row_id", "left_anti")
             control = ev.holdout(pick, rest, mo.build("tree", cols, depth=6))
             out.append(control.withColumns({

@@ -114,33 +114,6 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-SPREAD_BYTES = 512 * 1024
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan; a table with fewer splits than the session has cores is spread over them once.
-
-    Real tables have many row groups and are returned as scanned, without a shuffle. The spread
-    only concerns a file whose few row groups would leave most cores idle.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(folder).getLength()
-    if size < SPREAD_BYTES or size > cores * 128 * 1024 * 1024 or _row_groups(spark, df) >= cores:
-        return df
-    return df.repartition(cores)
-
-
-def _row_groups(spark: SparkSession, df: DataFrame) -> int:
-    """Row groups of a small table, from the file footers."""
-    conf = spark._jsc.hadoopConfiguration()
-    hadoop, parquet = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.parquet.hadoop
-    total = 0
-    for f in df.inputFiles():
-        source = parquet.util.HadoopInputFile.fromPath(hadoop(f), conf)
-        reader = parquet.ParquetFileReader.open(source)
-        total += reader.getRowGroups().size()
-        reader.close()
-    return total
+    """Parquet scan; splits follow the session's file settings (`spark.sql.files.*`)."""
+    return spark.read.parquet(path)

@@ -14,6 +14,8 @@ from tabsieve.functions.scalar import iso_utc
 from tabsieve.session import ensure_checkpoint_dir
 
 EVERYTHING = "*"
+# The published result tables name their columns bloque, tecnica, modelo, datos, metricas,
+# hiperparametros, semilla, notas, origen, filas, columnas, descripcion, motivo and fecha_utc.
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
