@@ -22,31 +22,31 @@ from pyspark.sql import functions as F
 #: recursion keeps stay bounded however long a word is.
 STEPS = 24
 #: Token positions that one recursive query starts with (more only for a single longer word).
-POSITIONS = 400_000
-#: Distinct words remembered by a worker between batches.
-REMEMBERED = 300_000
+POSITIONS = 200_000
+#: Distinct pieces remembered by a worker between batches.
+REMEMBERED = 500_000
 
-# `loc` is word * 2^32 + position, so that one ordering serves all words; `best` is rank * 2^32 + position.
+# `loc` is word * 2^32 + position and `after` the loc of the next token; `best` is rank * 2^32 + position.
 _STEP_SQL = f"""
 WITH RECURSIVE t AS (
-    SELECT 0 AS step, word * 4294967296 + pos AS loc, word, tok FROM start
+    SELECT 0 AS step, word * 4294967296 + pos AS loc, word, tok, word * 4294967296 + pos + 1 AS after FROM start
     UNION ALL
     (WITH p AS MATERIALIZED (
-         SELECT step, loc, word, tok, lead(tok) OVER w AS nxt, lead(word) OVER w AS nxt_word, lag(loc) OVER w AS prior
-         FROM t WINDOW w AS (ORDER BY loc)),
-     b AS (SELECT word, min(m.id * 4294967296 + loc % 4294967296) AS best
-           FROM p JOIN merges m ON m.l = p.tok AND m.r = p.nxt WHERE word = nxt_word GROUP BY word)
+         SELECT a.step, a.loc, a.word, a.tok, a.after, b.after AS beyond, b.tok AS nxt FROM t a LEFT JOIN t b ON a.after = b.loc),
+     c AS (SELECT word, min(m.id * 4294967296 + loc % 4294967296) AS best,
+                  arg_min(after, m.id * 4294967296 + loc % 4294967296) AS gone
+           FROM p JOIN merges m ON m.l = p.tok AND m.r = p.nxt GROUP BY word)
      SELECT step + 1, loc, p.word,
-            CASE WHEN loc % 4294967296 = best % 4294967296 THEN (best // 4294967296)::INTEGER ELSE tok END
-     FROM p JOIN b USING (word)
-     WHERE step < {STEPS} AND prior IS DISTINCT FROM p.word * 4294967296 + best % 4294967296)
+            CASE WHEN loc % 4294967296 = best % 4294967296 THEN (best // 4294967296)::INTEGER ELSE tok END,
+            CASE WHEN loc % 4294967296 = best % 4294967296 THEN beyond ELSE after END
+     FROM p JOIN c USING (word) WHERE step < {STEPS} AND loc <> gone)
 ), last AS (SELECT word, max(step) AS step FROM t GROUP BY word)
-SELECT t.word, t.loc % 4294967296 AS pos, t.tok, t.step
+SELECT t.word, t.tok, t.step
 FROM t JOIN last ON t.word = last.word AND t.step = last.step ORDER BY t.loc
 """
 
 _DECODE_SQL = """
-SELECT doc, unhex(string_agg(v.hex, '' ORDER BY pos)) AS bytes FROM ids JOIN vocab v ON v.id = ids.tok GROUP BY doc
+SELECT doc, string_agg(v.chars, '' ORDER BY pos) AS chars FROM ids JOIN vocab v ON v.id = ids.tok GROUP BY doc
 """
 
 
@@ -76,7 +76,8 @@ class Codec:
                     right.append(b)
                     merged.append(rank)
         merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "id": pa.array(merged, pa.int64())})
-        vocab = pa.table({"id": pa.array(list(self.ids.values()), pa.int32()), "hex": [t.hex() for t in self.ids]})
+        # A byte travels as the character of its number.
+        vocab = pa.table({"id": pa.array(list(self.ids.values()), pa.int32()), "chars": [t.decode("latin-1") for t in self.ids]})
         for name, table in (("merges", merges), ("vocab", vocab)):
             self.db.register("source", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM source")
@@ -93,48 +94,73 @@ class Codec:
             self.db.register("start", pa.table({"word": word, "pos": pos, "tok": tok}))
             found = self.db.execute(_STEP_SQL).fetchnumpy()
             self.db.unregister("start")
-            word, pos, tok = (np.ascontiguousarray(found[c]) for c in ("word", "pos", "tok"))
+            word, tok = np.ascontiguousarray(found["word"]), np.ascontiguousarray(found["tok"])
             open_ = found["step"] >= STEPS
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else []
-            ends = np.append(first[1:], len(word)) if len(word) else []
-            for a, b in zip(first, ends, strict=True):
-                if not open_[a]:
-                    out[word[a]] = tok[a:b].astype("<u4").tobytes()
-            word, pos, tok = word[open_].astype(np.int64), pos[open_].astype(np.int64), tok[open_].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            ends = np.append(first[1:], len(word))
+            raw, done = tok.astype("<u4").tobytes(), ~open_[first]
+            for n, a, b in zip(word[first][done].tolist(), (4 * first[done]).tolist(), (4 * ends[done]).tolist(), strict=True):
+                out[n] = raw[a:b]
+            word, tok = word[open_].astype(np.int64), tok[open_].astype(np.int32)
+            sizes = np.bincount(np.unique(word, return_inverse=True)[1]) if len(word) else np.zeros(0, np.int64)
+            pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Make the ids of all these words known."""
+    def _pieces(self, text: str) -> list[str]:
+        """Parts of the text whose matches are those of the whole text. Where all white space is single
+        spaces and newlines between words, these are the words with the space before them."""
+        bare = text.split()
+        gaps = len(bare) - 1
+        if gaps < 0 or len(text) - sum(map(len, bare)) != gaps or text.count(" ") + text.count("\n") != gaps:
+            return self.words.findall(text)
+        out: list[str] = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(first)
+            out.extend([" " + w for w in rest])
+            out.append("\n")
+        out.pop()
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make the ids of all these pieces known."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        todo: list[tuple[str, bytes]] = []
+        known = self.known
+        todo: dict[str, bytes] = {}
+        mixed: list[tuple[str, list[str]]] = []
         size = 0
 
         def flush() -> None:
-            for (w, _), ids in zip(todo, self._fixpoint([raw for _, raw in todo]), strict=True):
-                self.known[w] = ids
+            known.update(zip(todo, self._fixpoint(list(todo.values())), strict=True))
             todo.clear()
 
-        for w in words:
-            if w not in self.known:
-                raw = w.encode()
-                whole = self.ids.get(raw)
-                if whole is not None:
-                    self.known[w] = whole.to_bytes(4, "little")
-                    continue
-                todo.append((w, raw))
-                size += len(raw)
-                if size >= POSITIONS:
-                    flush()
-                    size = 0
+        for piece in pieces.difference(known):
+            words = self.words.findall(piece)
+            if len(words) > 1:
+                mixed.append((piece, words))
+            for w in words:
+                if w not in known and w not in todo:
+                    raw = w.encode()
+                    whole = self.ids.get(raw)
+                    if whole is not None:
+                        known[w] = whole.to_bytes(4, "little")
+                        continue
+                    todo[w] = raw
+                    size += len(raw)
+            if size >= POSITIONS:
+                flush()
+                size = 0
         if todo:
             flush()
+        for piece, words in mixed:
+            known[piece] = b"".join([known[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(t) for t in texts]
+        split = [self._pieces(t) for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, pieces)) for pieces in split]
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, by an ordered aggregation over its positions."""
@@ -145,8 +171,8 @@ class Codec:
         tok = np.concatenate(lists).astype(np.int32)
         doc = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
         self.db.register("ids", pa.table({"doc": doc, "pos": np.arange(len(tok), dtype=np.int64), "tok": tok}))
-        for i, raw in self.db.execute(_DECODE_SQL).fetchall():
-            out[i] = raw
+        for i, chars in self.db.execute(_DECODE_SQL).fetchall():
+            out[i] = chars.encode("latin-1")
         self.db.unregister("ids")
         return out
 
