@@ -196,3 +196,71 @@ def test_shapley_contributions_add_up(spark):
     assert all(abs(x["b"] + x["s"] - x["y"]) < 1e-9 for x in r.collect())
     g = {x["variable"]: x["mean_abs"] for x in ex.global_attribution(v).collect()}
     assert g["a"] > g["b"]
+
+
+def test_poisson_draws_follow_the_distribution():
+    u = (np.arange(20000) + 0.5) / 20000
+    for rate in (1.0, 7.0, 2500.0, 1e7):
+        x = sp.poisson_draws(np.full(len(u), rate), u)
+        assert abs(x.mean() - rate) < 0.02 * math.sqrt(rate) + 1e-3
+        assert abs(x.var() / rate - 1) < 0.05
+    assert sp.poisson_draws(np.ones(4), np.array([0.0, 0.3, 1 - 2.0**-53, 0.5])).min() >= 0
+
+
+def test_permutation_rotates_over_all_rows(spark, monkeypatch):
+    """The ranges in which rows are ranked change no result, and a null moves like any value."""
+    from pyspark.ml import Transformer
+
+    from tabsieve.operators import explain as ex
+
+    class Copy(Transformer):
+        def _transform(self, dataset):
+            return dataset.withColumn("pred", F.coalesce(F.col("a"), F.lit(1)).cast("int")).withColumn("score", F.lit(0.5))
+
+    data = [(i, int(i % 3 == 0), None if i % 3 == 0 else 0.0) for i in range(200)]
+    df = spark.createDataFrame(data, "row_id long, label int, a double")
+    got = []
+    for rows_each in (10**6, 40, 7):
+        monkeypatch.setattr(ex, "ROWS_PER_BUCKET", rows_each)
+        got.append(ex.permutation_importance(Copy(), df, ["a"], repeats=3).first().asDict())
+    assert all(g["mean"] == pytest.approx(got[0]["mean"]) and g["std"] == pytest.approx(got[0]["std"]) for g in got)
+    assert 0.3 < got[0]["mean"] < 1
+
+
+def test_linear_models_are_expressions(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tabsieve.operators import models as mo
+
+    data = [(i, int((i * 7 % 11) + (i % 5) > 7), float(i * 7 % 11), float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(data, "row_id long, label int, a double, b double")
+    ours = mo.build("logistic", ["a", "b"], max_iter=10).fit(df).transform(df)
+    vec = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    theirs = LogisticRegression(maxIter=10).fit(vec).transform(vec).select("row_id", vector_to_array("probability")[1].alias("p"), "prediction")
+    for r in ours.join(theirs, "row_id").collect():
+        assert r["score"] == pytest.approx(r["p"], abs=1e-9) and r["pred"] == r["prediction"]
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan
+    bayes = mo.build("gaussian_nb", ["a", "b"]).fit(df).transform(df)
+    from pyspark.ml.classification import NaiveBayes
+    theirs = NaiveBayes(modelType="gaussian").fit(vec).transform(vec).select("row_id", vector_to_array("probability")[1].alias("p"))
+    for r in bayes.join(theirs, "row_id").collect():
+        assert r["score"] == pytest.approx(r["p"], abs=1e-9)
+    with pytest.raises(ValueError):
+        mo.build("mlp_100", ["a", "b"], weighted=True)
+
+
+def test_models_learn_the_label(spark):
+    from tabsieve.operators import evaluate as ev
+    from tabsieve.operators import explain as ex
+    from tabsieve.operators import models as mo
+    from tabsieve.plans import modelling
+
+    train, test, columns = modelling.prepared(spark, "/root/testdata/sf0.001")
+    f1 = {n: mt.binary_metrics(ev.holdout(train, test, mo.build(n, columns)), score=None).first()["f1"] for n in ("dummy_majority", "logistic")}
+    assert f1["logistic"] > f1["dummy_majority"] + 0.5
+    model = mo.build("tree", columns, depth=5).fit(train)
+    top = [r["variable"] for r in ex.gain_importance(model, columns, train).orderBy(F.desc("importance")).limit(2).collect()]
+    assert "f_qty" in top
