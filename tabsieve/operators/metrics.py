@@ -156,8 +156,14 @@ def threshold_for_recall(preds: DataFrame, target: float = 0.97, label: str = "l
     return c.filter(F.col("recall") >= target).groupBy(*by).agg(F.max("threshold").alias("threshold"))
 
 
+def _unit_rows(preds: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Each row as a histogram of itself: bins are found on the scanned rows, so only bins are shuffled."""
+    hit = F.when(_is(label, 1), 1).otherwise(0).cast("bigint")
+    return preds.select(*by, F.col(score).alias("score"), hit.alias("pos"), (1 - hit).alias("neg"))
+
+
 def _counts_on_grid(hist: DataFrame, by: Sequence[str], grid: tuple[float, float, int] | Sequence[float]) -> DataFrame:
-    """Confusion counts at each threshold; the histogram is first collapsed to the grid's intervals."""
+    """Confusion counts at each threshold; the rows are first collapsed to the grid's intervals."""
     if isinstance(grid, tuple):
         start, stop, num = grid
         points = [round(start + (stop - start) * i / (num - 1), 12) for i in range(num)]
@@ -177,7 +183,7 @@ def _counts_on_grid(hist: DataFrame, by: Sequence[str], grid: tuple[float, float
 def metrics_at(preds: DataFrame, thresholds: Sequence[float], label: str = "label", score: str = "score",
                by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and rates at given operating points."""
-    return rates_from_counts(_counts_on_grid(score_histogram(preds, label, score, by), by, list(thresholds)))
+    return rates_from_counts(_counts_on_grid(_unit_rows(preds, label, score, by), by, list(thresholds)))
 
 
 # The protocol's threshold grids and cost ratios.
@@ -189,7 +195,7 @@ COST_RATIOS = (1, 3, 5, 10)
 def best_threshold(preds: DataFrame, grid: tuple[float, float, int] = F1_GRID, label: str = "label",
                    score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """First grid point of maximal F1."""
-    c = rates_from_counts(_counts_on_grid(score_histogram(preds, label, score, by), by, grid))
+    c = rates_from_counts(_counts_on_grid(_unit_rows(preds, label, score, by), by, grid))
     return c.groupBy(*by).agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("b")).select(
         *by, (-F.col("b.t")).alias("threshold"), F.col("b.f1").alias("f1"))
 
@@ -197,7 +203,7 @@ def best_threshold(preds: DataFrame, grid: tuple[float, float, int] = F1_GRID, l
 def expected_cost(preds: DataFrame, grid: tuple[float, float, int] = COST_GRID, ratios: Sequence[int] = COST_RATIOS,
                   label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """(threshold, ratio, cost): mean cost per row when a miss costs `ratio` false alarms."""
-    c = _counts_on_grid(score_histogram(preds, label, score, by), by, grid)
+    c = _counts_on_grid(_unit_rows(preds, label, score, by), by, grid)
     c = c.withColumn("ratio", F.explode(F.array(*[F.lit(int(r)) for r in ratios])))
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return c.select(*by, "threshold", "ratio", ((F.col("fn") * F.col("ratio") + F.col("fp")) / n).alias("cost"))
@@ -212,7 +218,7 @@ def reliability(preds: DataFrame, bins: int = 10, label: str = "label", score: s
     """(bin, n, mean_score, observed): equal-frequency bins, empty ones left out."""
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(preds, [score], probs).agg(F.array_sort(F.collect_list("q")).alias("edges"))
-    hist = score_histogram(preds, label, score).join(F.broadcast(edges))
+    hist = _unit_rows(preds, label, score).join(F.broadcast(edges))
     n = F.col("pos") + F.col("neg")
     return locate(hist, "edges", F.col("score"), bins, "bin").groupBy("bin").agg(
         F.sum(n).alias("n"), (F.sum(F.col("score") * n) / F.sum(n)).alias("mean_score"),
