@@ -102,7 +102,6 @@ def fit(texts: list[str], labels: list[str], seed: int = 42) -> Model:
     hashes = hash_words(data, starts, ends)
     distinct, at, number = np.unique(hashes, return_index=True, return_inverse=True)
     slots, edges = features(data, starts[at], ends[at], distinct)
-    owner = np.repeat(np.arange(len(distinct)), np.diff(edges))
     gold_of = np.repeat([languages.index(x) for x in labels], np.diff(bounds)) if len(starts) else np.zeros(0, np.int64)
     k, rng = len(languages), np.random.default_rng(seed)
     weights, moves = np.zeros((SLOTS, k)), np.zeros((k, k))
@@ -121,13 +120,18 @@ def fit(texts: list[str], labels: list[str], seed: int = 42) -> Model:
             rows = np.stack([np.concatenate([run(d), run(rng.choice(usable) if i % 2 else d)]) for i, d in enumerate(batch)])
             move = _unit(np.exp(moves - moves.max(axis=1, keepdims=True)))
             used, inverse = np.unique(number[rows], return_inverse=True)
-            e = _emissions(weights, slots, edges)[used][inverse.reshape(rows.shape)]
+            inverse = inverse.ravel()
+            sizes = np.diff(edges)[used]
+            ends_of = np.cumsum(sizes)
+            place, back = np.unique(slots[np.repeat(edges[used] - ends_of + sizes, sizes) + np.arange(ends_of[-1])], return_inverse=True)
+            e = _emissions(weights[place], back, np.concatenate([[0], ends_of]))[inverse].reshape(*rows.shape, k)
             post, expected = _both_ways(e, move)
             gold = np.eye(k)[gold_of[rows]]
-            surplus = np.stack([np.bincount(number[rows].ravel(), (post - gold)[:, :, j].ravel(), len(distinct)) for j in range(k)], 1)
-            gradient = np.stack([np.bincount(slots, surplus[owner, j], SLOTS) for j in range(k)], 1) + 1e-3 * weights
-            seen_w += gradient**2
-            weights -= 0.2 * gradient / np.sqrt(seen_w)
+            surplus = np.stack([np.bincount(inverse, (post - gold)[:, :, j].ravel(), len(used)) for j in range(k)], 1)
+            owner = np.repeat(np.arange(len(used)), sizes)
+            gradient = np.stack([np.bincount(back, surplus[owner, j], len(place)) for j in range(k)], 1) + 1e-3 * weights[place]
+            seen_w[place] += gradient**2
+            weights[place] -= 0.2 * gradient / np.sqrt(seen_w[place])
             pairs = np.zeros((k, k))
             np.add.at(pairs, (gold_of[rows[:, :-1]].ravel(), gold_of[rows[:, 1:]].ravel()), 1)
             slope = move * expected.sum(axis=1, keepdims=True) - pairs
