@@ -103,7 +103,7 @@ def _windows(window: int) -> Callable:
     return run
 
 
-def _rows(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple]:
+def _rows(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple]:
     """Unpacked rows in groups of about `limit` bytes: ids, texts, hit positions, hit flags."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     packed, hits = batch.column(1), batch.column(2)

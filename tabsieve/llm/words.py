@@ -62,7 +62,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def groups(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def groups(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most `limit` bytes, or of one longer row."""
     first, n = 0, len(offsets) - 1
     while first < n:
