@@ -136,7 +136,8 @@ class Codec:
             todo.clear()
 
         for piece in pieces.difference(known):
-            words = self.words.findall(piece)
+            letters = piece[1:] if piece[:1] == " " else piece
+            words = [piece] if letters.isalpha() else self.words.findall(piece)
             if len(words) > 1:
                 mixed.append((piece, words))
             for w in words:
