@@ -38,8 +38,8 @@ TEMPLATES = {
 NEAR = 3
 #: Share of a template's word pairs that a match must hold.
 COVERAGE = 0.8
-#: Word pairs of a template fit the bits of one number.
-MOST_PAIRS = 62
+#: Word pairs of a template fit the bits of one number; the table of all of them is broadcast up to MOST_ROWS.
+MOST_PAIRS, MOST_ROWS = 62, 100_000
 
 
 def _template_rows(phrases: Mapping[str, str], templates: Mapping[str, str]) -> list[tuple]:
@@ -62,15 +62,16 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: Mappin
     that pass, only the one with the most pairs, then the first, is a match. Hash hits are confirmed on
     the words themselves.
 
-    The template table is a literal of a few hundred rows, which Spark sees the size of; texts are never
-    shuffled, only hits are. Null and empty texts have no match. Matches of rows that repeat a key, or
+    The template table is broadcast (its size is checked); texts are never shuffled, only hits are. Null and empty texts have no match. Matches of rows that repeat a key, or
     have none, are reported for that key together. Other columns are ignored.
     """
     spark = df.sparkSession
-    table = spark.createDataFrame(
-        _template_rows(phrases, templates),
-        "template int, label string, exact boolean, pairs int, place int, first string, second string",
-    ).withColumn("_hash", F.xxhash64("first", "second"))
+    rows = _template_rows(phrases, templates)
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} word pairs in all templates")
+    table = F.broadcast(spark.createDataFrame(
+        rows, "template int, label string, exact boolean, pairs int, place int, first string, second string",
+    ).withColumn("_hash", F.xxhash64("first", "second")))
     words = _words(text)
     pairs = (
         df.select(F.col(key).alias("_key"), words.alias("_words")).filter(F.size("_words") >= 2)

@@ -19,6 +19,8 @@ from tabsieve.llm.stages import written
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
+MOST_RULES = 100_000
+
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
@@ -76,8 +78,10 @@ def rule_verdicts(places: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_table(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """The rules as a table; up to MOST_RULES of them are marked for broadcast."""
     rows = [(v, h, p, h + p) for v, h, p in rules]
-    return df.sparkSession.createDataFrame(rows, "rule_verdict string, rule_host string, rule_path string, rule string")
+    table = df.sparkSession.createDataFrame(rows, "rule_verdict string, rule_host string, rule_path string, rule string")
+    return F.broadcast(table) if len(rows) <= MOST_RULES else table
 
 
 def judge_pages(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFrame | None = None,
@@ -88,8 +92,8 @@ def judge_pages(pages: DataFrame, rules: DataFrame | None = None, redirects: Dat
     redirect and canonical edges (from the markup, and from `redirects` with src and dst if given): allow
     if any alias is allowed by a rule, else block if any is blocked, else allow. Aliases need not be pages.
 
-    `rules` is a table (rule_verdict, rule_host, rule_path, rule), RULES by default; Spark broadcasts it
-    only if it is small. Null URLs and URLs without `://` have an empty host and path, no rule and no
+    `rules` is a table (rule_verdict, rule_host, rule_path, rule), RULES by default; a given table is
+    broadcast only if Spark knows it to be small. Null URLs and URLs without `://` have an empty host and path, no rule and no
     alias, and are allowed. Null and empty markup has no edges. Repeated rows get the same answer each;
     other columns are ignored; an empty table stays empty.
     """
