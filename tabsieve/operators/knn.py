@@ -262,6 +262,26 @@ def knn_impute(df: DataFrame, features: Sequence[str], k: int = 5, key: str = "r
     }).drop(*[f"_f_{c}" for c in features])
 
 
+class KnnImputerModel(Model):
+    def __init__(self, donors: DataFrame, features: Sequence[str], k: int, key: str):
+        super().__init__()
+        self.donors, self.features, self.k, self.key = donors, list(features), k, key
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return knn_impute(dataset, self.features, self.k, self.key, self.donors)
+
+
+class KnnImputer(Estimator):
+    """Fills from the k nearest training rows that have the value."""
+
+    def __init__(self, features: Sequence[str], k: int = 5, key: str = "row_id"):
+        super().__init__()
+        self.features, self.k, self.key = list(features), k, key
+
+    def _fit(self, dataset: DataFrame) -> KnnImputerModel:
+        return KnnImputerModel(dataset, self.features, self.k, self.key)
+
+
 class NeighboursModel(Model):
     def __init__(self, train: DataFrame, features: Sequence[str], k: int, key: str):
         super().__init__()

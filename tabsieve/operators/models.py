@@ -191,9 +191,10 @@ def random_trees(features, weighted=False, trees=300, depth=12, seed=42) -> Esti
     return on_columns(_weighted(rf, weighted), features)
 
 
-def boosted(features, weighted=False, iterations=300, depth=5, step=0.1, subsample=1.0, min_rows=1, seed=42) -> Estimator:
+def boosted(features, weighted=False, iterations=300, depth=5, step=0.1, subsample=1.0, min_rows=1, leaves=None, seed=42) -> Estimator:
+    """At most `leaves` leaves a tree: each holds 1 / leaves of the weight at least."""
     gbt = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-                        minInstancesPerNode=min_rows, seed=seed)
+                        minInstancesPerNode=min_rows, minWeightFractionPerNode=1 / leaves if leaves else 0.0, seed=seed)
     return on_columns(_weighted(gbt, weighted), features)
 
 

@@ -189,11 +189,10 @@ def r13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r14_balancing_comparison")
 def r14(spark: SparkSession, sf: str) -> DataFrame:
-    d = sp.stratified_kfold(fx.docs(spark, sf), "label", 3)
+    d = sp.stratified_kfold(fx.docs(spark, sf), "label", 5)
     rows = []
-    for name in ("none", "balanced", "weights_2_1", "oversample", "undersample"):
-        est = {name: mo.build("logistic", fx.DOC_FEATURES, weighted=name in ba.WEIGHTED, max_iter=20)}
-        scheme = ba.SCHEMES[name]
+    for name, scheme in ba.SCHEMES.items():
+        est = {name: mo.build("logistic", fx.DOC_FEATURES, weighted=name in ba.WEIGHTED)}
         rows.append(ev.summarise(ev.cross_validate(d, est, resample=lambda t, s=scheme: s(t, fx.DOC_FEATURES))))
     return union_all(rows).orderBy(F.desc("mcc_mean"), "model")
 
@@ -207,40 +206,30 @@ def m01(spark: SparkSession, sf: str) -> DataFrame:
     return mo.Dummy().fit(df).transform(df).select("row_id", "pred")
 
 
-# Small settings: the registered leaderboard exercises every model type on the whole table.
-SMALL = {
-    "logistic": {"max_iter": 10}, "sgd_log": {"max_iter": 5}, "linear_svm": {"max_iter": 3},
-    "nystroem_svm": {"components": 30, "max_iter": 2}, "mlp_100": {"max_iter": 5, "hidden": (20,)},
-    "mlp_64_32": {"max_iter": 5, "hidden": (16, 8)}, "tree": {"depth": 6}, "forest": {"trees": 10, "depth": 5},
-    "extra_trees": {"trees": 10, "depth": 5}, "hist_gb": {"iterations": 3, "depth": 3}, "xgb": {"iterations": 3, "depth": 4},
-    "lgbm": {"iterations": 3, "depth": 3}, "catboost": {"iterations": 3, "depth": 3},
-}
 VECTOR_MODELS = ("knn_5", "knn_15")
+SCALED_MODELS = [n for n, (_, _, _, scaled) in mo.REGISTRY.items() if scaled]
+TREE_MODELS = [n for n in mo.REGISTRY if n not in SCALED_MODELS]
 
 
 def _board(spark: SparkSession, sf: str, names: list[str], scale: str) -> DataFrame:
     train, _, cols = prepared(spark, sf, scale)
-    est = {n: mo.build(n, cols, **SMALL.get(n, {})) for n in names}
     families = {n: mo.REGISTRY[n][0] for n in names}
-    return ev.leaderboard(sp.stratified_kfold(train, "label", 2), est, families)
+    return ev.leaderboard(sp.stratified_kfold(train, "label", 5), {n: mo.build(n, cols) for n in names}, families)
 
 
 @query("m23_leaderboard_scaled_models")
 def m23(spark: SparkSession, sf: str) -> DataFrame:
-    names = [n for n, (_, _, _, scaled) in mo.REGISTRY.items() if scaled and n not in VECTOR_MODELS]
-    return _board(spark, sf, names, "standard")
+    return _board(spark, sf, SCALED_MODELS, "standard")
 
 
 @query("m23_leaderboard_tree_models")
 def m23b(spark: SparkSession, sf: str) -> DataFrame:
-    names = [n for n, (_, _, _, scaled) in mo.REGISTRY.items() if not scaled]
-    return _board(spark, sf, names, "none")
+    return _board(spark, sf, TREE_MODELS, "none")
 
 
 @query("m24_three_best_models")
 def m24(spark: SparkSession, sf: str) -> DataFrame:
-    board = _board(spark, sf, ["dummy_majority", "logistic", "lda", "gaussian_nb", "tree"], "standard")
-    return ev.best_non_dummy(board)
+    return ev.best_non_dummy(union_all([_board(spark, sf, SCALED_MODELS, "standard"), _board(spark, sf, TREE_MODELS, "none")]))
 
 
 @query("m08_m09_nearest_leaderboard")
@@ -377,14 +366,19 @@ def e08(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml import Pipeline
 
     df = fx.model_split(spark, sf).filter("split = 'train'").select("row_id", "label", *USED)
-    folds = sp.stratified_kfold(df, "label", 3)
+    folds = sp.stratified_kfold(df, "label", 5)
     est = {}
     for strategy in ("mean", "median", "most_frequent", "constant"):
-        est[f"impute_{strategy}"] = Pipeline(stages=[
-            pp.ColumnImputer(USED, strategy), mo.build("logistic", USED, max_iter=10)])
-    for scale in ("none", "standard", "minmax", "maxabs", "robust"):
+        est[f"impute_{strategy}"] = Pipeline(stages=[pp.ColumnImputer(USED, strategy), mo.build("logistic", USED)])
+    flags = [f"missingindicator_{c}" for c in ("f_age", "f_age2")]
+    for strategy in ("median", "mean"):
+        est[f"impute_{strategy}_indicator"] = Pipeline(stages=[
+            pp.ColumnImputer(USED, strategy, True), mo.build("logistic", [*USED, *flags])])
+    est["impute_knn"] = Pipeline(stages=[knn.KnnImputer(USED, 5), mo.build("logistic", USED)])
+    est["impute_iterative"] = Pipeline(stages=[pp.IterativeImputer(USED), mo.build("logistic", USED)])
+    for scale in ("none", "standard", "minmax", "maxabs", "robust", "yeo_johnson"):
         est[f"scale_{scale}"] = Pipeline(stages=[
-            pp.ColumnImputer(USED, "mean"), pp.ColumnScaler(USED, scale), mo.build("logistic", USED, max_iter=10)])
+            pp.ColumnImputer(USED, "mean"), pp.ColumnScaler(USED, scale), mo.build("logistic", USED)])
     return ev.leaderboard(folds, est, areas=False)
 
 
@@ -404,39 +398,56 @@ def g03(spark: SparkSession, sf: str) -> DataFrame:
                                    F.avg("score").alias("mean_score"))
 
 
-@query("g04_grid_search")
-def g04(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, cols = prepared(spark, sf, "none")
-    points = mo.grid(depth=[3, 5], minInstancesPerNode=[1, 50])
-    return ev.search(train, lambda **p: mo.build("tree", cols, **_ints(p)), points)
+# Fixed values of the protocol: draws of a random search, the searched families, the family of the final model.
+TRIALS = 30
+SEARCHED = list(mo.SPACES)
+FINAL = "lgbm"
+
+
+def _factory(name: str, cols: list[str]):
+    return lambda **p: mo.build(name, cols, **_ints(p))
 
 
 def _ints(p: dict) -> dict:
-    return {k: int(v) if k in ("depth", "iterations", "trees", "min_rows", "minInstancesPerNode") else v for k, v in p.items()}
+    return {k: int(v) if k in ("depth", "iterations", "leaves", "trees", "min_rows", "minInstancesPerNode") else v for k, v in p.items()}
+
+
+@query("g04_grid_search")
+def g04(spark: SparkSession, sf: str) -> DataFrame:
+    train, _, cols = prepared(spark, sf, "none")
+    points = mo.grid(iterations=[200, 400], leaves=[31, 63], step=[0.05, 0.1], depth=[6, 10])
+    return ev.search(train, _factory("lgbm", cols), points)
 
 
 @query("g05_g07_random_search_history")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf, "none")
-    trials = ev.search(train, lambda **p: mo.build("tree", cols, **_ints(p)), mo.sample_space(mo.SPACES["tree"], 10))
-    return best_so_far(trials, "trial", "value")
+    out = None
+    for name in SEARCHED:
+        found = ev.search(train, _factory(name, cols), mo.sample_space(mo.SPACES[name], TRIALS)).withColumn("family", F.lit(name))
+        out = out.unionByName(found, allowMissingColumns=True) if out is not None else found
+    return best_so_far(out, "trial", "value", by=["family"])
 
 
 @query("g08_tuned_refit")
 def g08(spark: SparkSession, sf: str) -> DataFrame:
+    """The best point of each family is cross-validated on all of train; the best of these is fitted and scored once."""
     train, test, cols = prepared(spark, sf, "none")
-    points = [{"depth": d} for d in (3, 6)]
-    point, inner = ev.best_point(ev.search(train, lambda **p: mo.build("tree", cols, **p), points), points)
-    held = mt.binary_metrics(ev.holdout(train, test, mo.build("tree", cols, **point)))
-    return held.withColumns({"depth": F.lit(point["depth"]), "inner_f1": F.lit(inner)})
+    best = {}
+    for name in SEARCHED:
+        points = mo.sample_space(mo.SPACES[name], TRIALS)
+        best[name] = ev.best_point(ev.search(train, _factory(name, cols), points), points)
+    tuned = {name: _factory(name, cols)(**point) for name, (point, _) in best.items()}
+    name = ev.summarise(ev.cross_validate(train, tuned)).orderBy(F.desc("f1_mean"), "model").first()["model"]
+    point, inner = best[name]
+    held = mt.binary_metrics(ev.holdout(train, test, tuned[name]))
+    return held.withColumns({"model": F.lit(name), "depth": F.lit(point["depth"]), "inner_f1": F.lit(inner)})
 
 
 @query("g09_nested_cv")
 def g09(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf, "none")
-    space = {"depth": ("int", 2, 6)}
-    return ev.nested_cv(train, lambda **p: mo.build("tree", cols, **_ints(p)),
-                        lambda s: mo.sample_space(space, 2, s), outer=3, inner=2)
+    return ev.nested_cv(train, _factory(FINAL, cols), lambda s: mo.sample_space(mo.SPACES[FINAL], 10, s), outer=5, inner=3)
 
 
 @query("g10_learning_curve")
@@ -508,7 +519,7 @@ def g14(spark: SparkSession, sf: str) -> DataFrame:
 @query("v04_families_contrast")
 def v04(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf)
-    est = {n: mo.build(n, cols, **SMALL.get(n, {})) for n in ("logistic", "gaussian_nb", "tree", "lda")}
+    est = {n: mo.build(n, cols) for n in ("logistic", "gaussian_nb", "tree", "lda")}
     folds = ev.cross_validate(train, est, 5, areas=False)
     scores = ev.long_scores(folds, "families").checkpoint()
     chi = st.friedman(scores).select("comparison", "chi2", F.col("p").alias("friedman_p"))

@@ -186,7 +186,7 @@ def i08(spark: SparkSession, sf: str) -> DataFrame:
 
     df = fx.main_null(spark, sf).select("row_id", "label", "f_qty", "f_price", "f_disc", "f_age", "f_age2")
     features = ["f_qty", "f_price", "f_disc", "f_age", "f_age2"]
-    filled = pp.IterativeImputer(features, max_iter=2).fit(df).transform(df)
+    filled = pp.IterativeImputer(features).fit(df).transform(df)
     require_no_nulls(filled, features)
     return filled.agg(*[F.avg(c).alias(c) for c in features])
 
