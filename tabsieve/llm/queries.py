@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, exact_dedup, html_text, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
+from tabsieve.llm import bpe, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
 from tabsieve.llm.license_scan import CAPITALS, SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,3 +243,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = html_text.extract(_pages(spark, sf))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+# Windows of the items and of the documents are joined as texts, by their number of words.
+LEAK_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS k,
+             unnest(range(1, greatest(len(w) - {decontaminate.WINDOW} + 2, 2))) AS i FROM b WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+s AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
+m AS (SELECT s.doc_id, s.i, s.k, q.item_id FROM s JOIN q ON q.k = s.k AND q.g = array_to_string(s.w[s.i:s.i + s.k - 1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM m) GROUP BY 1),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS x FROM m GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(x), 0) AS n_items,
+       sha256(coalesce(array_to_string(x, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@_query("op11_benchmark_decontamination", LEAK_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))

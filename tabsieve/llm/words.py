@@ -71,12 +71,13 @@ def groups(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int
         first = min(last, n)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of all words, and the n + 1 word numbers at which the rows begin."""
+def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of all words, and the n + 1 word numbers at which the rows begin. `gap` marks the
+    byte values that separate words."""
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
+    space = gap[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     before = np.empty(len(data), dtype=bool)
