@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import bpe, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
+from tabsieve.llm import align, bpe, decontaminate, exact_dedup, html_text, langid, license_scan, mixing, near_dedup, quality, substring_dedup, url_filter
 from tabsieve.llm.license_scan import CAPITALS, SMALL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,3 +265,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 @_query("op11_benchmark_decontamination", LEAK_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@_query("op12_tokenizer_alignment")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    a_json, b_model = (align.read_file(public_tokenizers.path(f)) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(_documents(spark, sf), a_json, b_model, show=align.group_digest, shown="groups_sha256")
