@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,22 +146,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(1)
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        of_ids = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        of_bytes = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array((offsets[1:] - offsets[:-1]).astype("int64")), pa.array(of_ids), pa.array(of_bytes)],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _digests(ids: np.ndarray, decoded: bytes) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def token_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes, one row per row of `docs`. Null and empty texts have no
+    tokens; null and repeated keys and repeated rows are rows of their own; an empty table stays empty."""
     ranks = bpe.read_ranks(public_tokenizers.path(vocabulary))
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe.decode(ids, ranks, public_tokenizers.PATTERN).mapInArrow(
-        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @_query("op8_byte_bpe")
