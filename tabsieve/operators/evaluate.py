@@ -25,7 +25,10 @@ from tabsieve.operators.split import learning_sizes, stratified_kfold
 from tabsieve.session import ensure_checkpoint_dir
 from tabsieve.sources.files import union_all
 
+#: Fits side by side, at least; as many more as cores are free beside a table of few partitions.
 PARALLEL = 4
+#: Rows of a partition of a table that is fitted many times: every job of a fit pays for each of its tasks.
+ROWS_A_TASK = 50_000
 KEEP = ("row_id", "label", "pred", "score")
 Resampler = Callable[[DataFrame], DataFrame]
 
@@ -40,15 +43,24 @@ def parallel(tasks: Sequence[Callable[[], object]], threads: int = PARALLEL) ->
         return pool.map(run, list(tasks))
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """The table in partitions of about ROWS_A_TASK rows, never in more than it has."""
+    parts = max(1, -(-df.count() // ROWS_A_TASK))
+    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
+
+
 def out_of_fold(
     df: DataFrame, estimators: Mapping[str, Estimator], k: int = 5, seed: int = 42, label: str = "label",
-    key: str = "row_id", resample: Resampler | None = None, threads: int = PARALLEL, extra: Sequence[str] = (),
+    key: str = "row_id", resample: Resampler | None = None, threads: int | None = None, extra: Sequence[str] = (),
+    rounds: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """(model, fold, row_id, label, pred, score, fit_time_s): one prediction per row and model.
 
     `df` may already carry a `fold` column; resampling only ever touches the training side. Every fit reads
-    the table again, so callers cache it (`cross_validate` does).
+    the table again, so callers cache it (`cross_validate` does). A model named in `rounds` is scored at each of
+    these numbers of rounds from its one fit; its rows are named model@rounds.
     """
+    threads, rounds = threads or PARALLEL, rounds or {}
     spread = df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)
     folds = sorted(r["fold"] for r in spread.select("fold").distinct().collect())
 
@@ -58,9 +70,12 @@ def out_of_fold(
             start = time.perf_counter()
             model = est.fit(resample(train) if resample else train)
             spent = time.perf_counter() - start
-            scored = model.transform(spread.filter(F.col("fold") == fold))
-            return scored.select(
-                F.lit(name).alias("model"), "fold", *KEEP, *extra, F.lit(spent).alias("fit_time_s"))
+            valid, named = spread.filter(F.col("fold") == fold), F.lit(name)
+            if name in rounds:
+                scored, named = model.at(valid, rounds[name]), F.concat(named, F.lit("@"), F.col("rounds").cast("string"))
+            else:
+                scored = model.transform(valid)
+            return scored.select(named.alias("model"), "fold", *KEEP, *extra, F.lit(spent).alias("fit_time_s"))
         return run
 
     tasks = [task(n, e, f) for n, e in estimators.items() for f in folds]
@@ -69,13 +84,14 @@ def out_of_fold(
 
 def cross_validate(df: DataFrame, estimators: Mapping[str, Estimator], k: int = 5, seed: int = 42,
                    label: str = "label", key: str = "row_id", resample: Resampler | None = None,
-                   areas: bool = True) -> DataFrame:
+                   areas: bool = True, rounds: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
     """(model, fold, metric..., fit_time_s): the fold scores, kept for paired tests."""
     # Written once: the metrics below read it several times, and its plan holds every fitted model.
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)).persist()
+    tagged = compact(df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)).persist()
     try:
-        oof = out_of_fold(tagged, estimators, k, seed, label, key, resample).checkpoint()
+        threads = max(PARALLEL, df.sparkSession.sparkContext.defaultParallelism // max(1, tagged.rdd.getNumPartitions()))
+        oof = out_of_fold(tagged, estimators, k, seed, label, key, resample, threads, rounds=rounds).checkpoint()
     finally:
         tagged.unpersist()
     m = binary_metrics(oof, score="score" if areas else None, by=["model", "fold"])
@@ -113,15 +129,30 @@ def holdout(train: DataFrame, test: DataFrame, estimator: Estimator) -> DataFram
 # ---- search ----------------------------------------------------------------------------------
 
 def search(df: DataFrame, factory: Callable[..., Estimator], points: Sequence[Mapping], k: int = 3, seed: int = 42,
-           metric: str = "f1") -> DataFrame:
-    """(trial, <params>, value): the trial table of a grid or random search on shared folds."""
-    estimators = {str(i): factory(**p) for i, p in enumerate(points)}
-    folds = cross_validate(df, estimators, k, seed, areas=metric in ("roc_auc", "average_precision"))
-    scores = folds.groupBy(F.col("model").cast("int").alias("trial")).agg(F.avg(metric).alias("value"))
+           metric: str = "f1", canonical: Callable[[Mapping], Mapping] = dict, grows_by: str | None = None) -> DataFrame:
+    """(trial, <params>, value): the trial table of a grid or random search on shared folds.
+
+    Points that `canonical` maps to the same parameters are one fit. With `grows_by`, points that differ only in that
+    parameter share the fit with its largest value, whose model scores the smaller ones too (`Model.at`).
+    """
+    fits: dict[tuple, dict[int, list[int]]] = {}
+    for i, p in enumerate(points):
+        own = dict(canonical(p))
+        size = int(own.pop(grows_by)) if grows_by else 0
+        fits.setdefault(tuple(sorted(own.items())), {}).setdefault(size, []).append(i)
+    estimators, rounds, trials = {}, {}, []
+    for n, (own, sizes) in enumerate(fits.items()):
+        estimators[str(n)] = factory(**dict(own), **({grows_by: max(sizes)} if grows_by else {}))
+        if len(sizes) > 1:
+            rounds[str(n)] = sorted(sizes)
+        trials += [(i, f"{n}@{size}" if len(sizes) > 1 else str(n)) for size, members in sizes.items() for i in members]
+    folds = cross_validate(df, estimators, k, seed, areas=metric in ("roc_auc", "average_precision"), rounds=rounds)
+    scores = folds.groupBy("model").agg(F.avg(metric).alias("value"))
     names = sorted({n for p in points for n in p})
-    rows = [(i, *[float(p[n]) if p.get(n) is not None else None for n in names]) for i, p in enumerate(points)]
-    table = df.sparkSession.createDataFrame(rows, "trial int, " + ", ".join(f"{n} double" for n in names))
-    return table.join(scores, "trial")
+    model = dict(trials)
+    rows = [(i, model[i], *[float(p[n]) if p.get(n) is not None else None for n in names]) for i, p in enumerate(points)]
+    table = df.sparkSession.createDataFrame(rows, "trial int, model string, " + ", ".join(f"{n} double" for n in names))
+    return table.join(scores, "model").drop("model")
 
 
 def best_point(trials: DataFrame, points: Sequence[Mapping]) -> tuple[dict, float]:
@@ -130,17 +161,19 @@ def best_point(trials: DataFrame, points: Sequence[Mapping]) -> tuple[dict, floa
 
 
 def nested_cv(df: DataFrame, factory: Callable[..., Estimator], sampler: Callable[[int], Sequence[Mapping]],
-              outer: int = 5, inner: int = 3, seed: int = 42, metric: str = "f1", label: str = "label") -> DataFrame:
-    """(fold, inner_score, outer_score, bias): optimism of the inner search per outer fold."""
-    tagged = stratified_kfold(df, label, outer, seed).persist()
+              outer: int = 5, inner: int = 3, seed: int = 42, metric: str = "f1", label: str = "label", **options) -> DataFrame:
+    """(fold, inner_score, outer_score, bias): optimism of the inner search per outer fold. `options` go to `search`."""
+    tagged = compact(stratified_kfold(df, label, outer, seed)).persist()
     rows = []
-    for fold in range(outer):
-        train, valid = (tagged.filter(c).drop("fold") for c in (F.col("fold") != fold, F.col("fold") == fold))
-        points = list(sampler(seed + fold))
-        point, inner_score = best_point(search(train, factory, points, inner, seed, metric), points)
-        got = binary_metrics(holdout(train, valid, factory(**point)), score=None).first()[metric]
-        rows.append((fold, inner_score, float(got), inner_score - float(got)))
-    tagged.unpersist()
+    try:
+        for fold in range(outer):
+            train, valid = (tagged.filter(c).drop("fold") for c in (F.col("fold") != fold, F.col("fold") == fold))
+            points = list(sampler(seed + fold))
+            point, inner_score = best_point(search(train, factory, points, inner, seed, metric, **options), points)
+            got = binary_metrics(holdout(train, valid, factory(**point)), score=None).first()[metric]
+            rows.append((fold, inner_score, float(got), inner_score - float(got)))
+    finally:
+        tagged.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, inner_score double, outer_score double, bias double")
 
 
@@ -148,10 +181,10 @@ def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int =
                    label: str = "label", metric: str = "f1") -> DataFrame:
     """(step, fold, rows, train, validation, gap): nested training sizes, fixed validation folds."""
     tagged = stratified_kfold(df, label, k, seed)
-    sized = union_all([
+    sized = compact(union_all([
         learning_sizes(tagged.filter(F.col("fold") != f), label, steps, seed=seed + 1).withColumn("hold", F.lit(f))
-        for f in range(k)]).persist()
-    valid = tagged.persist()
+        for f in range(k)])).persist()
+    valid = compact(tagged).persist()
 
     def task(step: int, fold: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
@@ -164,9 +197,11 @@ def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int =
         return run
 
     ensure_checkpoint_dir(df.sparkSession)
-    preds = union_all(parallel([task(s, f) for s in range(1, steps + 1) for f in range(k)])).checkpoint()
-    sized.unpersist()
-    valid.unpersist()
+    try:
+        preds = union_all(parallel([task(s, f) for s in range(1, steps + 1) for f in range(k)])).checkpoint()
+    finally:
+        sized.unpersist()
+        valid.unpersist()
     m = binary_metrics(preds, score=None, by=["step", "fold", "side"])
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     side = lambda s, c: F.max(F.when(F.col("side") == s, c))

@@ -8,11 +8,14 @@ spirit; the randomised-trees entry is an approximation and says so.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+import numpy as np
+import pandas as pd
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
+    DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
     NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -169,11 +172,45 @@ def gaussian_nb(features, weighted=False) -> Estimator:
     return GaussianBayes(_weighted(NaiveBayes(modelType="gaussian"), weighted), features)
 
 
+class Perceptron(Estimator):
+    """A perceptron that stops early: fits of `every` iterations go on from the last weights until the accuracy on a slice
+    of the rows, picked by a hash of their features, has not grown by `tol` for `patience` fits or `max_iter` is reached.
+    The best weights stay. Without rows in the slice nothing stops it."""
+
+    def __init__(self, inputs: Sequence[str], hidden: Sequence[int] = (100,), max_iter: int = 200, seed: int = 42, every: int = 10,
+                 patience: int = 2, tol: float = 1e-4, share: float = 0.1):
+        super().__init__()
+        self.inputs, self.hidden, self.max_iter, self.seed = list(inputs), list(hidden), max_iter, seed
+        self.every, self.patience, self.tol, self.share = every, patience, tol, share
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        assembler = VectorAssembler(inputCols=self.inputs, outputCol="features")
+        held = hash_uniform(F.lit(self.seed), *[F.col(c) for c in self.inputs]) < self.share
+        table = assembler.transform(dataset).select("features", LABEL, held.alias("_held")).persist()
+        try:
+            train, valid = table.filter("NOT _held"), table.filter("_held")
+            best, top, stale, done, weights = None, -1.0, 0, 0, None
+            while done < self.max_iter and stale < self.patience:
+                step = min(self.every, self.max_iter - done)
+                net = MultilayerPerceptronClassifier(layers=[len(self.inputs), *self.hidden, 2], maxIter=step, seed=self.seed)
+                model = (net.setInitialWeights(weights) if weights is not None else net).fit(train)
+                weights, done = model.weights, done + step
+                right = model.transform(valid).agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
+                if right is None or right > top + self.tol:
+                    best, top, stale = model, right if right is not None else top, 0
+                else:
+                    stale += 1
+        finally:
+            table.unpersist()
+        fitted = PipelineModel([assembler, best, Predictions()])
+        fitted.iterations = done
+        return fitted
+
+
 def perceptron(features, weighted=False, hidden=(100,), max_iter=200, seed=42) -> Estimator:
     if weighted:
         raise ValueError("the perceptron takes no row weights")
-    net = MultilayerPerceptronClassifier(layers=[len(features), *hidden, 2], maxIter=max_iter, seed=seed)
-    return on_columns(net, features)
+    return Perceptron(features, hidden, max_iter, seed)
 
 
 def tree(features, weighted=False, depth=20, seed=42, **kw) -> Estimator:
@@ -191,11 +228,62 @@ def random_trees(features, weighted=False, trees=300, depth=12, seed=42) -> Esti
     return on_columns(_weighted(rf, weighted), features)
 
 
+class BoostedModel(Model):
+    """A fitted booster. The first n trees are the booster of n rounds, so one fit serves every smaller number."""
+
+    def __init__(self, assembler: VectorAssembler, booster: GBTClassificationModel):
+        super().__init__()
+        self.assembler, self.booster = assembler, booster
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return Predictions().transform(self.booster.transform(self.assembler.transform(dataset)))
+
+    def leaf_values(self) -> np.ndarray:
+        """weight * prediction of every leaf, by tree and leaf number (the order in which a tree prints its leaves)."""
+        found = [[float(x) for x in re.findall(r"Predict: (\S+)", t.toDebugString)] for t in self.booster.trees]
+        out = np.zeros((len(found), max(map(len, found))))
+        for row, leaves, w in zip(out, found, self.booster.treeWeights, strict=True):
+            row[:len(leaves)] = np.array(leaves) * w
+        return out
+
+    def at(self, dataset: DataFrame, rounds: Sequence[int]) -> DataFrame:
+        """One row per input row and number of rounds: `rounds`, `score` and `pred`, scored in one pass."""
+        values, counts = self.leaf_values(), np.array(sorted(rounds))
+
+        @F.pandas_udf("array<double>")
+        def margins(leaves: pd.Series) -> pd.Series:
+            at = np.stack(leaves.to_numpy()).astype(np.int64)
+            sums = np.cumsum(values[np.arange(len(values)), at], axis=1)
+            return pd.Series(list(sums[:, np.minimum(counts, len(values)) - 1]))
+
+        booster = self.booster.copy().setLeafCol("_leaf")
+        placed = booster.transform(self.assembler.transform(dataset)).drop("rawPrediction", "probability", "prediction", "features")
+        pairs = F.arrays_zip(F.array(*[F.lit(int(c)) for c in counts]).alias("rounds"), margins(vector_to_array("_leaf")).alias("margin"))
+        each = placed.withColumn("_at", F.explode(pairs)).drop("_leaf")
+        margin = F.col("_at.margin")
+        return each.withColumns({"rounds": F.col("_at.rounds"), "score": 1.0 / (1.0 + F.exp(-2.0 * margin)),
+                                 "pred": (margin > 0).cast("int")}).drop("_at")
+
+
+class Boosted(Estimator):
+    def __init__(self, booster: GBTClassifier, inputs: Sequence[str]):
+        super().__init__()
+        self.booster, self.inputs = booster, list(inputs)
+
+    def _fit(self, dataset: DataFrame) -> BoostedModel:
+        assembler = VectorAssembler(inputCols=self.inputs, outputCol="features")
+        return BoostedModel(assembler, self.booster.fit(assembler.transform(dataset)))
+
+
 def boosted(features, weighted=False, iterations=300, depth=5, step=0.1, subsample=1.0, min_rows=1, leaves=None, seed=42) -> Estimator:
-    """At most `leaves` leaves a tree: each holds 1 / leaves of the weight at least."""
-    gbt = GBTClassifier(maxIter=iterations, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-                        minInstancesPerNode=min_rows, minWeightFractionPerNode=1 / leaves if leaves else 0.0, seed=seed)
-    return on_columns(_weighted(gbt, weighted), features)
+    """`leaves` bounds the depth: the trees grow level by level, so about `leaves` leaves are ceil(log2 leaves) levels."""
+    gbt = GBTClassifier(maxIter=iterations, maxDepth=booster_depth(depth, leaves), stepSize=step, subsamplingRate=subsample,
+                        minInstancesPerNode=min_rows, seed=seed)
+    return Boosted(_weighted(gbt, weighted), features)
+
+
+def booster_depth(depth: int, leaves: int | None) -> int:
+    return min(depth, math.ceil(math.log2(leaves))) if leaves else depth
 
 
 def nearest(features, weighted=False, k=5, key="row_id") -> Estimator:
@@ -268,6 +356,19 @@ def sample_space(space: dict[str, tuple[str, float, float]], n: int, seed: int =
     return draws
 
 
+def canonical(name: str, point: dict) -> dict:
+    """The point as the estimator sees it: points that differ only in what it ignores are one fit."""
+    if REGISTRY[name][1] is not boosted or point.get("leaves") is None:
+        return dict(point)
+    rest = {k: v for k, v in point.items() if k != "leaves"}
+    return rest | {"depth": booster_depth(int(point.get("depth", 5)), int(point["leaves"]))}
+
+
+def grows_by(name: str) -> str | None:
+    """The parameter whose smaller values are contained in a fit with a larger one."""
+    return "iterations" if REGISTRY[name][1] is boosted else None
+
+
 def grid(**values: Sequence) -> list[dict]:
     from itertools import product
 

@@ -25,6 +25,7 @@ from tabsieve.plans.profiling import rnd
 from tabsieve.plans.registry import query
 from tabsieve.session import ensure_checkpoint_dir
 from tabsieve.sources.files import union_all
+from tabsieve.sources.sinks import checkpointed
 
 M = fx.SQL_MAIN
 USED = ["f_qty", "f_price", "f_disc", "f_tax", "f_line", "f_bin", "f_quasi", "f_age", "f_age2"]
@@ -211,10 +212,17 @@ SCALED_MODELS = [n for n, (_, _, _, scaled) in mo.REGISTRY.items() if scaled]
 TREE_MODELS = [n for n in mo.REGISTRY if n not in SCALED_MODELS]
 
 
+def _once(spark: SparkSession, name: str, params: dict, compute) -> DataFrame:
+    """A table that several queries of a session read, written once below the session's shared folder."""
+    return checkpointed(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/shared", name, compute, params=params)
+
+
 def _board(spark: SparkSession, sf: str, names: list[str], scale: str) -> DataFrame:
-    train, _, cols = prepared(spark, sf, scale)
-    families = {n: mo.REGISTRY[n][0] for n in names}
-    return ev.leaderboard(sp.stratified_kfold(train, "label", 5), {n: mo.build(n, cols) for n in names}, families)
+    def compute() -> DataFrame:
+        train, _, cols = prepared(spark, sf, scale)
+        families = {n: mo.REGISTRY[n][0] for n in names}
+        return ev.leaderboard(sp.stratified_kfold(train, "label", 5), {n: mo.build(n, cols) for n in names}, families)
+    return _once(spark, "board", {"sf": sf, "models": names, "scale": scale}, compute)
 
 
 @query("m23_leaderboard_scaled_models")
@@ -412,19 +420,32 @@ def _ints(p: dict) -> dict:
     return {k: int(v) if k in ("depth", "iterations", "leaves", "trees", "min_rows", "minInstancesPerNode") else v for k, v in p.items()}
 
 
+def _options(name: str) -> dict:
+    return {"canonical": lambda p: mo.canonical(name, p), "grows_by": mo.grows_by(name)}
+
+
+def _trials(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, list[dict]]:
+    """The trial table of a family's random search: written once, read by the history and by the refit."""
+    points = mo.sample_space(mo.SPACES[name], TRIALS)
+
+    def compute() -> DataFrame:
+        train, _, cols = prepared(spark, sf, "none")
+        return ev.search(train, _factory(name, cols), points, **_options(name))
+    return _once(spark, "trials", {"sf": sf, "family": name, "points": points}, compute), points
+
+
 @query("g04_grid_search")
 def g04(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf, "none")
     points = mo.grid(iterations=[200, 400], leaves=[31, 63], step=[0.05, 0.1], depth=[6, 10])
-    return ev.search(train, _factory("lgbm", cols), points)
+    return ev.search(train, _factory("lgbm", cols), points, **_options("lgbm"))
 
 
 @query("g05_g07_random_search_history")
 def g05(spark: SparkSession, sf: str) -> DataFrame:
-    train, _, cols = prepared(spark, sf, "none")
     out = None
     for name in SEARCHED:
-        found = ev.search(train, _factory(name, cols), mo.sample_space(mo.SPACES[name], TRIALS)).withColumn("family", F.lit(name))
+        found = _trials(spark, sf, name)[0].withColumn("family", F.lit(name))
         out = out.unionByName(found, allowMissingColumns=True) if out is not None else found
     return best_so_far(out, "trial", "value", by=["family"])
 
@@ -433,10 +454,7 @@ def g05(spark: SparkSession, sf: str) -> DataFrame:
 def g08(spark: SparkSession, sf: str) -> DataFrame:
     """The best point of each family is cross-validated on all of train; the best of these is fitted and scored once."""
     train, test, cols = prepared(spark, sf, "none")
-    best = {}
-    for name in SEARCHED:
-        points = mo.sample_space(mo.SPACES[name], TRIALS)
-        best[name] = ev.best_point(ev.search(train, _factory(name, cols), points), points)
+    best = {name: ev.best_point(*_trials(spark, sf, name)) for name in SEARCHED}
     tuned = {name: _factory(name, cols)(**point) for name, (point, _) in best.items()}
     name = ev.summarise(ev.cross_validate(train, tuned)).orderBy(F.desc("f1_mean"), "model").first()["model"]
     point, inner = best[name]
@@ -447,7 +465,8 @@ def g08(spark: SparkSession, sf: str) -> DataFrame:
 @query("g09_nested_cv")
 def g09(spark: SparkSession, sf: str) -> DataFrame:
     train, _, cols = prepared(spark, sf, "none")
-    return ev.nested_cv(train, _factory(FINAL, cols), lambda s: mo.sample_space(mo.SPACES[FINAL], 10, s), outer=5, inner=3)
+    return ev.nested_cv(train, _factory(FINAL, cols), lambda s: mo.sample_space(mo.SPACES[FINAL], 10, s), outer=5, inner=3,
+                        **_options(FINAL))
 
 
 @query("g10_learning_curve")

@@ -17,6 +17,7 @@ def calls(monkeypatch):
     """What a query asks of its operators; every table is None."""
     seen = []
     monkeypatch.setattr(ml, "prepared", lambda *a: (None, None, ["x"]))
+    monkeypatch.setattr(ml, "_once", lambda spark, name, params, compute: compute())
     monkeypatch.setattr(ml.sp, "stratified_kfold", lambda d, label, k: seen.append(("folds", k)))
     monkeypatch.setattr(mo, "build", lambda name, cols, weighted=False, **kw: (name, kw))
     monkeypatch.setattr(ml.ev, "leaderboard", lambda d, est, *a, **kw: seen.append(("board", est)))
@@ -46,7 +47,7 @@ def test_all_schemes_are_compared(calls, monkeypatch):
 
 
 def test_searches_have_the_whole_budget(calls, monkeypatch):
-    def search(train, factory, points, *a):
+    def search(train, factory, points, *a, **options):
         calls.append((factory(**points[0])[0], len({tuple(p.items()) for p in points})))
         raise Stop
 
@@ -57,7 +58,7 @@ def test_searches_have_the_whole_budget(calls, monkeypatch):
             REGISTERED[name](None, "")
         assert calls.pop() == want
     assert set(ml.SEARCHED) == set(mo.SPACES)
-    monkeypatch.setattr(ml.ev, "nested_cv", lambda train, factory, sampler, outer, inner: (len(sampler(1)), outer, inner))
+    monkeypatch.setattr(ml.ev, "nested_cv", lambda train, factory, sampler, outer, inner, **kw: (len(sampler(1)), outer, inner))
     assert REGISTERED["g09_nested_cv"](None, "") == (10, 5, 3)
 
 
