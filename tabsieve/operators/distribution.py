@@ -7,11 +7,15 @@ Running totals are two-level: totals per bucket, then an ordered sum inside each
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Counters a column of the summaries that find frequent values.
+HITTERS = 64
 MAX_BUFFERS = 90  # aggregation buffers per pass that keep whole-stage code generation on
 
 
@@ -47,6 +51,112 @@ def value_histogram(df: DataFrame, features: Sequence[str], keep: Sequence[str]
     return long_form(df, features, keep).groupBy(*keep, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _keys(column: pa.Array) -> tuple[np.ndarray, int]:
+    """The values that are there as 64-bit keys (one for 0 and -0, one for all NaN), and the number of nulls."""
+    x = column.drop_null().to_numpy(zero_copy_only=False).astype("float64") + 0.0
+    x[np.isnan(x)] = np.nan
+    return x.view(np.int64), column.null_count
+
+
+def _sum_keys(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(found), dtype=np.int64)
+    np.add.at(sums, at, counts)
+    return found, sums
+
+
+def _summarise(features: Sequence[str], k: int) -> Callable:
+    """k counters a column: when there are more, the (k + 1)-th largest count is taken off all of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in features}
+        lost = dict.fromkeys(features, 0)
+        for batch in batches:
+            for c in features:
+                keys, counts = np.unique(_keys(batch.column(c))[0], return_counts=True)
+                keys, counts = _sum_keys(np.concatenate([held[c][0], keys]), np.concatenate([held[c][1], counts]))
+                if len(keys) > k:
+                    cut = np.partition(counts, len(counts) - k - 1)[len(counts) - k - 1]
+                    keys, counts, lost[c] = keys[counts > cut], counts[counts > cut] - cut, lost[c] + int(cut)
+                held[c] = keys, counts
+        rows = [(c, int(x), int(n)) for c in features for x, n in zip(*held[c], strict=True)] + [(c, None, lost[c]) for c in features]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))],
+            names=["variable", "key", "n"])
+    return run
+
+
+def _count_keys(wanted: dict[str, np.ndarray]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {c: np.zeros(len(x), dtype=np.int64) for c, x in wanted.items()}
+        nulls, rows = dict.fromkeys(wanted, 0), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for c, x in wanted.items():
+                keys, missing = _keys(batch.column(c))
+                nulls[c] += missing
+                if len(x):
+                    at = np.minimum(np.searchsorted(x, keys), len(x) - 1)
+                    sums[c] += np.bincount(at[x[at] == keys], minlength=len(x))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(wanted)), pa.array([sums[c].tolist() for c in wanted], pa.list_(pa.int64())),
+             pa.array([nulls[c] for c in wanted], pa.int64()), pa.array([rows] * len(wanted), pa.int64())],
+            names=["variable", "counts", "nulls", "rows"])
+    return run
+
+
+def heavy_hitters(df: DataFrame, features: Sequence[str], k: int = HITTERS) -> list[tuple[str, int, int, bool]]:
+    """(variable, top, total, sure) of every column with rows: the count of its most frequent value, NULL being one.
+
+    A scan keeps k counters a column in every task; merged, they miss no value with more than about total / k rows. A
+    second scan counts these candidates exactly. `sure` says that no other value can have more than `top`; if not,
+    `top` is a lower bound. At most len(features) * k rows reach the driver.
+    """
+    cells = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    seen = cells.mapInArrow(_summarise(features, k), "variable string, key long, n long").groupBy("variable", "key").agg(
+        F.sum("n").alias("n"))
+    most = Window.partitionBy("variable", F.col("key").isNull()).orderBy(F.desc("n"), "key")
+    best = seen.withColumn("_r", F.row_number().over(most)).filter(F.col("_r") <= k + 1).collect()
+    held: dict[str, list] = {c: [] for c in features}
+    lost = dict.fromkeys(features, 0)
+    for r in best:
+        if r["key"] is None:
+            lost[r["variable"]] += r["n"]
+        elif r["_r"] <= k:
+            held[r["variable"]].append(r["key"])
+    for r in best:  # what the merged summary leaves out has at most its largest count on top of the tasks' losses
+        if r["key"] is not None and r["_r"] == k + 1:
+            lost[r["variable"]] += r["n"]
+    wanted = {c: np.array(sorted(x), dtype=np.int64) for c, x in held.items()}
+    exact = cells.mapInArrow(_count_keys(wanted), "variable string, counts array<long>, nulls long, rows long")
+    places = exact.select("variable", F.posexplode_outer("counts").alias("i", "n"), "nulls", "rows").groupBy("variable", "i").agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.sum("rows").alias("rows")).collect()
+    out: dict[str, tuple[int, int]] = {}
+    for r in places:
+        top, _ = out.get(r["variable"], (0, 0))
+        out[r["variable"]] = max(top, r["n"] or 0, r["nulls"]), r["rows"]
+    return [(c, *out[c], out[c][0] >= lost[c]) for c in features if c in out and out[c][1]]
+
+
+def _few(features: Sequence[str], most: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.zeros(0, np.int64) for c in features}
+        for batch in batches:
+            for c in features:
+                if len(held[c]) < most:
+                    held[c] = np.union1d(held[c], _keys(batch.column(c))[0])[:most]
+        keys = np.concatenate([held[c] for c in features])
+        names = [c for c in features for _ in held[c]]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys), pa.array(keys.view(np.float64))],
+                                         names=["variable", "key", "value"])
+    return run
+
+
+def few_values(df: DataFrame, features: Sequence[str], most: int) -> DataFrame:
+    """(variable, key, value): distinct values of every column, at most `most` from a task. `key` tells values apart."""
+    cells = df.select(*[F.col(c).cast("double").alias(c) for c in features])
+    return cells.mapInArrow(_few(features, most), "variable string, key long, value double")
+
+
 def locate(df: DataFrame, edges: str, value: Column, size: int, out: str, inclusive: bool = False) -> DataFrame:
     """Add `out`: how many entries of the ascending array column lie below the value (or equal it).
 

@@ -1,14 +1,16 @@
 """Exact k-nearest-neighbour join, on complete vectors or on vectors with missing components.
 
-The base side is cut into cells around hash-sampled pivots and each cell into blocks of bounded
-size. Per cell only a bounding box, a distance range to the pivot and a row count are kept (a
-table bounded by the number of pivots), which give a lower bound of the distance from a query to
-anything in the cell. A query first visits the cells nearest to it, which yields its current k-th
-distance, and then exactly those other cells whose bound does not exceed that distance. A visit
-pairs blocks of queries with blocks of base rows on (cell, block), computes distances with numpy
-and emits at most k + 1 rows per query, so no task ever holds a whole cell and no pair of rows is
-materialised. Identical base vectors beyond the k + 1 smallest keys cannot be neighbours and are
-left out before the cells are built, so piles of copies do not grow a cell.
+The base side is cut into a tree of cells: a cell of more than LEAF rows gets FAN hash-sampled pivots of its own and
+every row goes to its nearest one, level by level, so cells stay small however many rows there are. Per cell a
+bounding box, a distance range to its pivot and a row count are kept in a table, which give a lower bound of the
+distance from a query to anything in the cell. A query first walks down to the cells nearest to it, which yields its
+current k-th distance; then it walks the tree again and goes only into cells whose bound does not exceed that
+distance, the nearest leaves first and the others after the distance has shrunk. Walks move blocks of queries that
+stand at one node, so the children of a node are read once a block. A visit pairs blocks of queries with blocks of
+base rows on (leaf, block), computes distances with numpy and emits at most k + 1 rows per query, so no task ever holds
+a whole cell and no pair of rows is materialised. Identical base vectors beyond the k + 1 smallest keys cannot be
+neighbours and are left out before the cells are built, so piles of copies do not grow a cell. Only rows that no pivot
+tells apart (without common components) stay together in a larger leaf, in blocks.
 
 Distances are nan-euclidean: squared differences over the components present on both sides,
 scaled by p / (number of such components); on complete vectors this is the plain distance.
@@ -25,11 +27,17 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.operators.split import sample_rows
 from tabsieve.session import ensure_checkpoint_dir
+from tabsieve.sources.files import union_all
 
 BLOCK = 1024
-MAX_PIVOTS = 1024
+#: Rows of a cell beyond which it is cut, and the pivots that it then gets.
+LEAF, FAN = 2 * BLOCK, 16
+#: Levels of the tree; a node's number holds four bits a level.
+LEVELS = 15
+#: Leaves that a query visits before its distance is looked at again.
+FIRST_LEAVES = 4
+_ROOT = 1
 
 
 def _vector(features: Sequence[str] | str) -> F.Column:
@@ -63,66 +71,119 @@ def block_distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Cells:
-    """What every task knows about the base side: pivots and per-cell summaries."""
-
-    def __init__(self, pivots: np.ndarray, stats: pd.DataFrame):
-        m, p = pivots.shape
-        self.pivots = pivots
-        self.n = np.zeros(m)
-        self.lo, self.hi = np.full((m, p), np.nan), np.full((m, p), np.nan)
-        self.always = np.zeros((m, p), dtype=bool)
-        self.near, self.far = np.full(m, np.inf), np.zeros(m)
-        for r in stats.itertuples():
-            c = r.cell
-            self.n[c], self.near[c], self.far[c] = r.n, r.near, r.far
-            self.lo[c], self.hi[c] = np.array(r.lo, dtype="float64"), np.array(r.hi, dtype="float64")
-            self.always[c] = np.array(r.full, dtype="int64") == r.n
+    """The children of one node: pivots and summaries."""
+
+    def __init__(self, children: Sequence):
+        self.node = np.array([c["node"] for c in children])
+        self.leaf = np.array([c["leaf"] for c in children], dtype=bool)
+        self.n = np.array([c["n"] for c in children], dtype="float64")
+        self.near, self.far = (np.array([c[f] for c in children], dtype="float64") for f in ("near", "far"))
+        self.pivots, self.lo, self.hi = (
+            np.array([[np.nan if v is None else v for v in c[f]] for c in children], dtype="float64") for f in ("pivot", "lo", "hi"))
+        self.always = np.array([c["full"] for c in children], dtype="int64") == self.n[:, None]
         self.complete = self.always.all(1)
 
-    def to_pivots(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(block_distances(x, self.pivots))
-
     def bounds(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Lower bound of the distance from each query to each non-empty cell (empty: infinite)."""
+        """Lower bound of the distance from each query to each cell; `d` are the distances to the pivots."""
         p = x.shape[1]
         present = ~np.isnan(x)
         x0 = np.where(present, x, 0.0)
         out = np.zeros((len(x), len(self.n)))
         scale = p / np.maximum(present.sum(1), 1)
-        for c in np.nonzero(self.n)[0]:
+        for c in range(len(self.n)):
             use = present & self.always[c]
             lo, hi = np.nan_to_num(self.lo[c]), np.nan_to_num(self.hi[c])
             gap = np.maximum(np.maximum(lo - x0, x0 - hi), 0.0) * use
             out[:, c] = np.sqrt((gap**2).sum(1) * scale)
-        ball = np.maximum(d - self.far[None, :], self.near[None, :] - d)
+        with np.errstate(invalid="ignore"):
+            ball = np.maximum(d - self.far[None, :], self.near[None, :] - d)
         ok = present.all(1)[:, None] & self.complete[None, :]
         out = np.where(ok, np.maximum(out, ball), out)
-        out[:, self.n == 0] = np.inf
         return out * (1 - 1e-12) - 1e-12
 
 
-def _assign(base: DataFrame, pivots: np.ndarray) -> DataFrame:
-    out = f"id {base.schema['id'].dataType.simpleString()}, x array<double>, y double, cell int, r double"
+def _chunked(rows: DataFrame, by: str, values: Sequence[str]) -> DataFrame:
+    """(by, one array per value): the rows of each `by` in chunks of about BLOCK rows, `x` laid flat."""
+    sizes = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    parted = rows.join(sizes, by).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    packed = parted.groupBy(by, "_part").agg(F.collect_list(F.struct(*values)).alias("_c"))
+    return packed.select(by, *[F.flatten(f"_c.{v}").alias(v) if v == "x" else F.col(f"_c.{v}").alias(v) for v in values])
+
+
+class Tree:
+    """`rows` (id, x, y, cell): the base rows with their leaf; `nodes`: summaries of all cells but the root."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame | None, levels: int):
+        self.rows, self.nodes, self.levels = rows, nodes, levels
+
+
+def _summary(placed: DataFrame, p: int) -> DataFrame:
+    comp = lambda i: F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])
+    return placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r").alias("near"), F.max("r").alias("far"),
+        F.array(*[F.min(comp(i)) for i in range(p)]).alias("lo"), F.array(*[F.max(comp(i)) for i in range(p)]).alias("hi"),
+        F.array(*[F.count(comp(i)) for i in range(p)]).alias("full"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            d = np.sqrt(block_distances(_matrix(pdf["x"]), pivots))
-            d = np.where(np.isfinite(d), d, 1e300)
-            cell = d.argmin(1)
-            yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
 
-    # Arrow hands missing components back as NULL; keep them as NaN.
-    return base.select("id", "x", "y").mapInPandas(run, out).withColumn("x", _vector("x"))
+def build_tree(rows: DataFrame, total: int, p: int) -> Tree:
+    """Cut (id, x, y) into leaves of at most LEAF rows. A cell that its pivots do not divide stays a leaf."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    placed = rows.withColumn("cell", F.lit(_ROOT).cast("bigint"))
+    if total <= LEAF:
+        return Tree(placed, None, 0)
+    schema = f"id {id_type}, x array<double>, y double, cell bigint, r double"
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                pivots = np.array([list(v) for v in r.pivots], dtype="float64").reshape(-1, p)
+                x = np.asarray(r.x, dtype="float64").reshape(-1, p)
+                d = np.sqrt(block_distances(x, pivots))
+                d = np.where(np.isfinite(d), d, 1e300)
+                best = d.argmin(1)
+                yield pd.DataFrame({"id": r.id, "x": list(x), "y": np.array(r.y, dtype="float64"),
+                                    "cell": r.cell * FAN + best, "r": d[np.arange(len(d)), best]})
+
+    open_ = placed.sparkSession.createDataFrame([(_ROOT, total)], "cell bigint, n bigint")
+    done, nodes, level = [], [], 0
+    while level < LEVELS:
+        inside = placed.join(open_, "cell").drop("n") if level else placed
+        # A few more candidates than pivots, by hash, so that no cell is sorted whole.
+        share = F.pmod(F.xxhash64("id", "cell"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        drawn = placed.join(open_, "cell").filter(share < 4.0 * FAN / F.col("n"))
+        order = Window.partitionBy("cell").orderBy(F.xxhash64("id", "cell"), "id")
+        pivots = drawn.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= FAN).groupBy("cell").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_i", "x"))), lambda v: v["x"]).alias("pivots")).checkpoint()
+        cut = _chunked(inside.join(pivots.select("cell"), "cell", "left_semi"), "cell", ("id", "x", "y")).join(pivots, "cell")
+        # Arrow hands missing components back as NULL; keep them as NaN.
+        fresh = cut.select("cell", "id", "x", "y", "pivots").mapInPandas(assign, schema).withColumn("x", _vector("x")).checkpoint()
+        level += 1
+        parent = F.col("cell").cast("bigint")
+        named = _summary(fresh, p).withColumn("parent", F.floor(parent / FAN).cast("bigint"))
+        seed = pivots.select(F.col("cell").alias("parent"), F.posexplode("pivots").alias("_i", "pivot")).withColumn(
+            "cell", F.col("parent") * FAN + F.col("_i")).drop("parent")
+        named = named.join(seed.drop("_i"), "cell").join(
+            open_.select(F.col("cell").alias("parent"), F.col("n").alias("_of")), "parent")
+        grow = (F.col("n") > LEAF) & (F.col("n") < 0.95 * F.col("_of")) & F.lit(level < LEVELS)
+        named = named.withColumn("leaf", ~grow).drop("_of").checkpoint()
+        nodes.append(named)
+        done.append(fresh.join(named.filter("leaf").select("cell"), "cell", "left_semi").select("id", "x", "y", "cell"))
+        placed = fresh.join(named.filter("NOT leaf").select("cell"), "cell", "left_semi").select("id", "x", "y", "cell")
+        open_ = named.filter("NOT leaf").select("cell", "n")
+        if open_.isEmpty():
+            break
+    return Tree(union_all(done).checkpoint(), union_all(nodes).withColumnRenamed("cell", "node"), level)
 
 
 def neighbours(
     queries: DataFrame, base: DataFrame, features: Sequence[str] | str, k: int = 5, key: str = "row_id",
-    payload: str | None = "label", exclude_self: bool = True, fill_missing: bool = False,
+    payload: str | None = "label", exclude_self: bool = True, fill_missing: bool = False, report: dict | None = None,
 ) -> DataFrame:
     """(row_id, slot, rank, neighbour, distance, y): the k nearest base rows of every query row.
 
     `slot` is 0, or with fill_missing the index of a component missing in the query; then only base
-    rows that have it count, and y is their value of it. Otherwise y is the payload column.
+    rows that have it count, and y is their value of it. Otherwise y is the payload column. `report` receives the
+    numbers of leaves, queries and visits (query, leaf).
     """
     spark = queries.sparkSession
     ensure_checkpoint_dir(spark)
@@ -131,23 +192,13 @@ def neighbours(
     rows = base.select(F.col(key).alias("id"), x.alias("x"), y.alias("y"))
     copies = Window.partitionBy("x").orderBy("id")
     rows = rows.withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= k + 1).drop("_c").checkpoint()
-    total = rows.count()
+    seen = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    total, p = seen[0], seen[1]
     if total == 0:
         raise ValueError("the base side is empty")
-    m = int(min(MAX_PIVOTS, max(1, total // BLOCK)))
-    picked = sample_rows(rows, m, key="id").select("x").toPandas()  # at most MAX_PIVOTS vectors
-    pivots = _matrix(picked["x"])
-    placed = _assign(rows, pivots).checkpoint()
-    p = pivots.shape[1]
-    comp = lambda i: F.when(~F.isnan(F.col("x")[i]), F.col("x")[i])
-    stats = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r").alias("near"), F.max("r").alias("far"),
-        F.array(*[F.min(comp(i)) for i in range(p)]).alias("lo"),
-        F.array(*[F.max(comp(i)) for i in range(p)]).alias("hi"),
-        F.array(*[F.count(comp(i)) for i in range(p)]).alias("full")).toPandas()  # one row per pivot
-    blocks = {int(r.cell): max(1, -(-int(r.n) // BLOCK)) for r in stats.itertuples()}
-    nb = spark.createDataFrame(list(blocks.items()), "cell int, blocks int")
-    packed = placed.join(F.broadcast(nb), "cell").withColumn(
+    tree = build_tree(rows, total, p)
+    nb = tree.rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).checkpoint()
+    packed = tree.rows.join(nb, "cell").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     ).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "x", "y")).alias("b"))  # ~BLOCK rows each
     packed = packed.select("cell", "block", F.col("b.id").alias("b_id"), F.flatten("b.x").alias("b_x"),
@@ -155,28 +206,44 @@ def neighbours(
     q = queries.select(F.col(key).alias("id"), x.alias("x"))
     if fill_missing:
         q = q.filter(F.exists("x", F.isnan))
-    shared = spark.sparkContext.broadcast((pivots, stats.to_dict("list")))
     id_type = q.schema["id"].dataType.simpleString()
+    fields = ("node", "leaf", "n", "near", "far", "pivot", "lo", "hi", "full")
+    children = tree.nodes.groupBy(F.col("parent").alias("at")).agg(
+        F.collect_list(F.struct(*fields)).alias("children")).checkpoint() if tree.levels else None  # FAN at most
 
-    def visits(source: DataFrame, first: bool) -> DataFrame:
-        """(id, x, cell): the cells a query has to visit in this round."""
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            c = _Cells(shared.value[0], pd.DataFrame(shared.value[1]))
-            for pdf in batches:
-                xs = _matrix(pdf["x"])
-                d = np.where(c.n[None, :] > 0, c.to_pivots(xs), np.inf)
-                lb = c.bounds(xs, d)
-                order = np.lexsort((d, lb), axis=1) if len(c.n) > 1 else np.zeros((len(xs), 1), dtype=int)
-                filled = np.cumsum(c.n[order], axis=1)
-                early = np.zeros(lb.shape, dtype=bool)
-                np.put_along_axis(early, order, (filled - c.n[order]) < k + 1, axis=1)
-                early &= c.n[None, :] > 0
-                want = early if first else ~early & (lb <= pdf["theta"].to_numpy()[:, None]) & (c.n[None, :] > 0)
+    def step(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                cells = _Cells(r.children)
+                xs = np.asarray(r.x, dtype="float64").reshape(-1, p)
+                theta = np.array(r.theta, dtype="float64")
+                d = np.sqrt(block_distances(xs, cells.pivots))
+                lb = cells.bounds(xs, d)
+                if first:  # the nearest cells that hold k + 1 rows together
+                    order = np.lexsort((d, lb), axis=1)
+                    filled = np.cumsum(cells.n[order], axis=1)
+                    want = np.zeros(lb.shape, dtype=bool)
+                    np.put_along_axis(want, order, (filled - cells.n[order]) < k + 1, axis=1)
+                else:
+                    want = lb <= theta[:, None]
                 i, j = np.nonzero(want)
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "x": pdf["x"].to_numpy()[i],
-                                    "cell": j.astype("int32")})
-
-        return source.mapInPandas(run, f"id {id_type}, x array<double>, cell int").withColumn("x", _vector("x"))
+                yield pd.DataFrame({"id": np.asarray(r.id)[i], "x": list(xs[i]), "theta": theta[i], "at": cells.node[j],
+                                    "leaf": cells.leaf[j], "lb": lb[i, j]})
+
+    def walk(frontier: DataFrame, first: bool) -> DataFrame:
+        """(id, x, cell, lb): the leaves that queries (id, x, theta) have to visit."""
+        frontier = frontier.withColumn("at", F.lit(_ROOT).cast("bigint"))
+        if not tree.levels:
+            return frontier.select("id", "x", F.col("at").alias("cell"), F.lit(0.0).alias("lb"))
+        found = []
+        for _ in range(tree.levels):
+            chunks = _chunked(frontier, "at", ("id", "x", "theta")).join(children, "at").select("id", "x", "theta", "children")
+            out = chunks.mapInPandas(
+                lambda batches: step(batches, first),
+                f"id {id_type}, x array<double>, theta double, at bigint, leaf boolean, lb double").withColumn("x", _vector("x")).checkpoint()
+            found.append(out.filter("leaf").select("id", "x", F.col("at").alias("cell"), "lb"))
+            frontier = out.filter("NOT leaf").select("id", "x", "theta", "at")
+        return union_all(found)
 
     def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -188,14 +255,11 @@ def neighbours(
                 yield _top(qx, bx, qi, bi, by, k + 1, fill_missing)
 
     def visit(v: DataFrame) -> DataFrame:
-        """Pair query blocks with base blocks of the same cell; keep the k nearest per query."""
-        v = v.checkpoint()
-        sizes = v.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        chunks = v.join(F.broadcast(sizes), "cell").withColumn(  # sizes: at most one row per pivot
-            "part", F.pmod(F.xxhash64("id"), F.col("parts"))
-        ).groupBy("cell", "part").agg(F.collect_list(F.struct("id", "x")).alias("q"))
-        chunks = chunks.select("cell", F.col("q.id").alias("q_id"), F.flatten("q.x").alias("q_x")).join(
-            F.broadcast(nb), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        """Pair query blocks with base blocks of the same leaf; keep the k nearest per query."""
+        if report is not None:
+            report["visits"] = report.get("visits", 0) + v.count()
+        chunks = _chunked(v, "cell", ("id", "x")).select("cell", F.col("id").alias("q_id"), F.col("x").alias("q_x"))
+        chunks = chunks.join(nb, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = chunks.join(packed, ["cell", "block"]).select("q_id", "q_x", "b_id", "b_x", "b_y")
         found = pairs.mapInPandas(
             distances, f"id {id_type}, slot int, neighbour {id_type}, d2 double, y double")
@@ -206,14 +270,24 @@ def neighbours(
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
-    one = best(visit(visits(q, True))).checkpoint()
-    if m > 1:
+    start = walk(q.withColumn("theta", F.lit(float("inf"))), True).checkpoint()
+    if report is not None:
+        report |= {"leaves": nb.count(), "queries": q.count()}
+    one = best(visit(start)).checkpoint()
+    if tree.levels:
         slots = F.size(F.filter("x", F.isnan)) if fill_missing else F.lit(1)
-        kth = one.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("d2").alias("worst"))
-        open_q = q.join(kth, "id", "left").withColumn(
-            "theta", F.when(F.col("found") >= slots * k, F.sqrt("worst")).otherwise(F.lit(float("inf"))))
-        two = visit(visits(open_q.select("id", "x", "theta"), False))
-        one = best(one.drop("rank").unionByName(two))
+
+        def radius(now: DataFrame) -> DataFrame:
+            kth = now.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("d2").alias("worst"))
+            return q.join(kth, "id", "left").select("id", "x", F.when(
+                F.col("found") >= slots * k, F.sqrt("worst")).otherwise(F.lit(float("inf"))).alias("theta"))
+
+        rest = walk(radius(one), False).join(start.select("id", "cell"), ["id", "cell"], "left_anti")
+        by_bound = Window.partitionBy("id").orderBy("lb", "cell")
+        rest = rest.withColumn("_turn", F.row_number().over(by_bound)).checkpoint()
+        one = best(one.drop("rank").unionByName(visit(rest.filter(F.col("_turn") <= FIRST_LEAVES).select("id", "x", "cell")))).checkpoint()
+        late = rest.filter(F.col("_turn") > FIRST_LEAVES).join(radius(one).select("id", "theta"), "id").filter(F.col("lb") <= F.col("theta"))
+        one = best(one.drop("rank").unionByName(visit(late.select("id", "x", "cell").checkpoint())))
     return one.select(F.col("id").alias(key), "slot", "rank", "neighbour", F.sqrt("d2").alias("distance"), "y")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.scalar import right_closed_bin
 from tabsieve.operators.distribution import (
-    average_ranks, column_aggregate, exact_medians, exact_quantiles, locate, long_form, value_histogram,
+    HITTERS, average_ranks, column_aggregate, exact_medians, exact_quantiles, few_values, heavy_hitters, locate, long_form, value_histogram,
 )
 
 
@@ -86,27 +86,42 @@ def approx_distinct_counts(df: DataFrame, features: Sequence[str], rsd: float =
         df, features, {"n_distinct": lambda c: F.approx_count_distinct(c, rsd)}, buffers_each=60)
 
 
-def dominance(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Share of the most frequent value, NULL counted as a value."""
-    return value_histogram(df, features).groupBy("variable").agg(
-        (F.max("n") / F.sum("n")).alias("dominance"))
+def dominance(df: DataFrame, features: Sequence[str], k: int = HITTERS) -> DataFrame:
+    """Share of the most frequent value, NULL counted as a value. Columns without rows give none.
 
-
-def constancy(df: DataFrame, features: Sequence[str], quasi: float = 0.99) -> DataFrame:
-    d = F.col("dominance")
-    return dominance(df, features).select(
-        "variable", "dominance",
-        F.when(d == 1.0, "constant").when(d >= quasi, "quasi_constant").otherwise("varied").alias("kind"))
+    Exact from two scans for every column whose top value holds more than about 1 / k of the rows (`heavy_hitters`). Only
+    the columns without such a value, whose top count can be that of any value, have their values shuffled.
+    """
+    found = {name: (top, total, sure) for name, top, total, sure in heavy_hitters(df, features, k)}
+    rows = [(name, top / total) for name, (top, total, sure) in found.items() if sure]
+    out = df.sparkSession.createDataFrame(rows, "variable string, dominance double")
+    light = [name for name, (_, _, sure) in found.items() if not sure]
+    if not light:
+        return out
+    return out.unionByName(value_histogram(df, light).groupBy("variable").agg((F.max("n") / F.sum("n")).alias("dominance")))
+
+
+def constancy(df: DataFrame, features: Sequence[str], quasi: float = 0.99, k: int = HITTERS) -> DataFrame:
+    """(variable, dominance, kind): constant, quasi_constant (dominance >= quasi) or varied. dominance is NULL where no
+    value holds about 1 / k of the rows; `quasi` must be above that."""
+    if quasi <= 2 / k:
+        raise ValueError(f"quasi must be above {2 / k}")
+    rows = []
+    for name, top, total, sure in heavy_hitters(df, features, k):
+        kind = "constant" if top == total else "quasi_constant" if sure and top / total >= quasi else "varied"
+        rows.append((name, top / total if sure else None, kind))
+    return df.sparkSession.createDataFrame(rows, "variable string, dominance double, kind string")
 
 
 def variable_types(df: DataFrame, features: Sequence[str], discrete_max: int = 10) -> DataFrame:
-    """binary (values within {0,1}), discrete (few distinct values) or continuous."""
-    stats = value_histogram(df, features).filter(F.col("value").isNotNull()).groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n_distinct"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("is01"))
-    return stats.select(
-        "variable", "n_distinct",
-        F.when(F.col("is01"), "binary").when(F.col("n_distinct") <= discrete_max, "discrete")
-        .otherwise("continuous").alias("kind"))
+    """(variable, n_distinct, kind): binary (values within {0,1}), discrete (few distinct values) or continuous, for
+    which n_distinct is NULL. NULLs count as no value; tasks send at most discrete_max + 1 values of a column."""
+    values = few_values(df, features, discrete_max + 1).groupBy("variable").agg(
+        F.count_distinct("key").alias("n"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("is01"))
+    few = F.col("n") <= discrete_max
+    return values.select(
+        "variable", F.when(few | F.col("is01"), F.col("n")).alias("n_distinct"),
+        F.when(F.col("is01"), "binary").when(few, "discrete").otherwise("continuous").alias("kind"))
 
 
 def binary_columns(df: DataFrame, features: Sequence[str]) -> list[str]:

@@ -100,7 +100,8 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
 SELECT variable, count(DISTINCT value) AS n_distinct, CASE WHEN bool_and(value IN (0, 1)) THEN 'binary'
   WHEN count(DISTINCT value) <= 10 THEN 'discrete' ELSE 'continuous' END AS kind FROM long WHERE value IS NOT NULL GROUP BY variable"""))
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.variable_types(fx.main_null(spark, sf), fx.FEATURES)
+    m = fx.main_null(spark, sf)
+    return pr.distinct_counts(m, fx.FEATURES).join(pr.variable_types(m, fx.FEATURES).select("variable", "kind"), "variable")
 
 
 @query("a11_family_counts", f"""

@@ -155,7 +155,8 @@ def _brute(x, k):
 
 
 def test_neighbours_match_brute_force_across_cells(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BLOCK", 40)  # several pivots and blocks on a small table
+    for name, value in (("BLOCK", 20), ("LEAF", 30), ("FAN", 4), ("FIRST_LEAVES", 1)):  # a deep tree on a small table
+        monkeypatch.setattr(knn, name, value)
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(6, 3)) * 8
     x = np.round(centres[rng.integers(0, 6, 250)] + rng.normal(size=(250, 3)), 1)
