@@ -7,10 +7,11 @@ column expressions, so transforming never leaves code generation and adds no shu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from tabsieve.operators.distribution import (
     column_aggregate, exact_medians, exact_quantiles, value_histogram,
 )
 from tabsieve.operators.profile import binary_columns
+from tabsieve.session import ensure_checkpoint_dir
 
 
 def _stats(df: DataFrame) -> dict[str, dict]:
@@ -262,38 +264,105 @@ class IterativeImputerModel(Model):
         return cast.mapInPandas(chain, cast.schema)
 
 
+def _pattern_sums(features: Sequence[str], start: np.ndarray) -> Callable:
+    """Per pattern of missing columns the sums of z z', z being (values - start, 1) with 0 for what is missing."""
+    p = len(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in features]
+            x = np.stack(columns, axis=1).astype("float64") - start
+            miss = np.isnan(x)
+            z = np.concatenate([np.where(miss, 0.0, x), np.ones((len(x), 1))], axis=1)
+            patterns, of = np.unique(miss, axis=0, return_inverse=True)
+            of = of.reshape(-1)
+            for i, pattern in enumerate(patterns):
+                part = z[of == i]
+                name = np.packbits(pattern).tobytes()
+                held[name] = held.get(name, 0.0) + part.T @ part
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.binary()), pa.array([g.reshape(-1).tolist() for g in held.values()], pa.list_(pa.float64()))],
+                names=["pattern", "gram"])
+
+    def total(table: pa.Table) -> pa.Table:
+        flat = table["gram"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, (p + 1) ** 2)
+        return pa.table({"pattern": table["pattern"].slice(0, 1), "gram": pa.array([flat.sum(0).tolist()], pa.list_(pa.float64()))})
+
+    return run, total
+
+
 class IterativeImputer(Estimator):
     """Round-robin regression: every column with nulls is predicted from the others, in turn.
 
-    Each step is a distributed covariance of the current fill over the rows where the target is
-    observed, and a small p x p solve; a ridge term keeps collinear columns stable.
+    A regression needs sums of products of the current fill over the rows where its target is observed. Rows that miss
+    the same columns are filled by the same linear maps, so the sums of such a pattern follow each step by a small matrix
+    product: one scan gathers them for all patterns, and every round is solved from them without another look at the
+    table. A ridge term keeps collinear columns stable. Columns without any value are filled with 0 and not predicted.
+
+    Patterns are few where columns are missing together; if their sums pass `memory` bytes, each step gathers its sums
+    from the rows instead (one job a round and column), with the same result.
     """
 
-    def __init__(self, features: Sequence[str], max_iter: int = 10, ridge: float = 1e-6):
+    def __init__(self, features: Sequence[str], max_iter: int = 10, ridge: float = 1e-6, memory: int = 256 << 20):
         super().__init__()
-        self.features, self.max_iter, self.ridge = list(features), max_iter, ridge
+        self.features, self.max_iter, self.ridge, self.memory = list(features), max_iter, ridge, memory
 
     def _fit(self, dataset: DataFrame) -> IterativeImputerModel:
-        from tabsieve.operators.reduce import moments
+        f, p = self.features, len(self.features)
+        cells = dataset.select(*[F.col(c).cast("double").alias(c) for c in f])
+        known = cells.agg(*[F.avg(c).alias(c) for c in f], *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in f]).first()
+        start = {c: float(known[c] or 0.0) for c in f}
+        targets = sorted([c for c in f if known[f"{c}_nulls"] and known[c] is not None], key=lambda c: known[f"{c}_nulls"])
+        if not targets or not self.max_iter:
+            return IterativeImputerModel(f, start, [])
+        shift = np.array([start[c] for c in f])
+        gather, total = _pattern_sums(f, shift)
+        ensure_checkpoint_dir(dataset.sparkSession)
+        parts = cells.mapInArrow(gather, "pattern binary, gram array<double>").groupBy("pattern").applyInArrow(
+            total, "pattern binary, gram array<double>").checkpoint()
+        if parts.count() * (p + 1) ** 2 * 8 > self.memory:
+            return self._by_rows(cells, start, targets)
+        rows = parts.collect()
+        grams = np.array([r["gram"] for r in rows]).reshape(-1, p + 1, p + 1)
+        missing = np.array([np.unpackbits(np.frombuffer(r["pattern"], dtype=np.uint8))[:p] for r in rows], dtype=bool)
+        steps = []
+        for _ in range(self.max_iter):
+            for target in targets:
+                t = f.index(target)
+                coef, shifted = self._solve(grams[~missing[:, t]].sum(0), t)
+                move = np.eye(p + 1)
+                move[t] = [*coef, shifted]
+                grams[missing[:, t]] = move @ grams[missing[:, t]] @ move.T
+                steps.append((t, coef, float(shifted + shift[t] - coef @ shift)))
+        return IterativeImputerModel(f, start, steps)
 
+    def _solve(self, gram: np.ndarray, t: int) -> tuple[np.ndarray, float]:
+        """Coefficients (0 for the target itself) and intercept of one regression from its sums of products."""
+        n, mean = gram[-1, -1], gram[-1, :-1] / gram[-1, -1]
+        cov = gram[:-1, :-1] / n - np.outer(mean, mean)
+        rest = [i for i in range(len(mean)) if i != t]
+        a = cov[np.ix_(rest, rest)]
+        scale = float(np.trace(a)) / max(1, len(rest)) or 1.0
+        coef = np.zeros(len(mean))
+        coef[rest] = np.linalg.solve(a + self.ridge * scale * np.eye(len(rest)), cov[rest, t])
+        return coef, float(mean[t] - mean @ coef)
+
+    def _by_rows(self, cells: DataFrame, start: dict[str, float], targets: Sequence[str]) -> IterativeImputerModel:
         f = self.features
-        start = ColumnImputer(f, "mean").fit(dataset).fills
-        row = dataset.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in f]).first()
-        targets = sorted([c for c in f if row[c]], key=lambda c: row[c])
-        observed = dataset.select(*f, *[F.col(c).isNotNull().alias(f"_obs_{c}") for c in targets])
+        shift = np.array([start[c] for c in f])
+        gather, total = _pattern_sums(f, shift)
+        observed = cells.select(*f, *[F.col(c).isNotNull().alias(f"_obs_{c}") for c in targets])
         steps: list[tuple[int, np.ndarray, float]] = []
-        for _ in range(self.max_iter if targets else 0):
+        for _ in range(self.max_iter):
             for target in targets:
-                current = IterativeImputerModel(f, start, steps).transform(observed)
-                n, mean, cov = moments(current.filter(F.col(f"_obs_{target}")), f)
                 t = f.index(target)
-                rest = [i for i in range(len(f)) if i != t]
-                a = cov[np.ix_(rest, rest)]
-                scale = float(np.trace(a)) / max(1, len(rest)) or 1.0
-                beta = np.linalg.solve(a + self.ridge * scale * np.eye(len(rest)), cov[rest, t])
-                coef = np.zeros(len(f))
-                coef[rest] = beta
-                steps = [*steps, (t, coef, float(mean[t] - mean[rest] @ beta))]
+                current = IterativeImputerModel(f, start, steps).transform(observed).filter(F.col(f"_obs_{target}")).select(*f)
+                gram = current.mapInArrow(gather, "pattern binary, gram array<double>").groupBy("pattern").applyInArrow(
+                    total, "pattern binary, gram array<double>").first()["gram"]
+                coef, shifted = self._solve(np.array(gram).reshape(len(f) + 1, -1), t)
+                steps = [*steps, (t, coef, float(shifted + shift[t] - coef @ shift))]
         return IterativeImputerModel(f, start, steps)
 
 
