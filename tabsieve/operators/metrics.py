@@ -8,14 +8,18 @@ in the same job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.functions.scalar import safe_ratio
+from tabsieve.functions.scalar import hash_uniform, safe_ratio
 from tabsieve.operators.distribution import bucket_by_sketch, exact_quantiles, locate, running_totals
-from tabsieve.operators.split import bootstrap_counts
+from tabsieve.operators.split import poisson_draws
+from tabsieve.session import ensure_checkpoint_dir
 
 EPS = 1e-15  # score clipping of the log loss
 
@@ -250,23 +254,105 @@ def confusion_cell(label: str = "label", pred: str = "pred") -> Column:
 
 # ---- bootstrap -------------------------------------------------------------------------------
 
+#: Rows whose weights in all replicates a task lays out at a time.
+_DRAWN_ROWS = 512
+_CELLS = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """label, pred, score of some rows and their weights, (row, replicate)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _DRAWN_ROWS):
+            part = batch.slice(lo, _DRAWN_ROWS)
+            label, pred, score, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("label", "pred", "score", "n"))
+            u = part.column("u").flatten().to_numpy().reshape(part.num_rows, -1)
+            w = poisson_draws(np.repeat(n.astype("float64"), u.shape[1]), u.reshape(-1)).reshape(u.shape)
+            yield label, pred, score, w
+
+
+def _replicate_sums(replicates: int) -> Callable:
+    """Per partition the sums of all replicates: the four cells, squared errors, positives and the rest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((7, replicates))
+        for label, pred, score, w in _drawn(batches):
+            for i, (y, p) in enumerate(_CELLS):
+                sums[i] += w[(label == y) & (pred == p)].sum(0)
+            sums[4] += ((score - label) ** 2) @ w
+            sums[5] += w[label == 1].sum(0)
+            sums[6] += w[label != 1].sum(0)
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        yield pa.RecordBatch.from_arrays([part, pa.array([sums.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["part", "sums"])
+    return run
+
+
+def _replicate_areas(before: dict[int, np.ndarray], total: np.ndarray) -> Callable:
+    """Per partition of descending scores the parts of both areas. `before` holds the positives and the rest that
+    lie in partitions of higher scores, `total` those of all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tp, fp = before[TaskContext.get().partitionId()].copy()
+        roc, precise = np.zeros_like(tp), np.zeros_like(tp)
+        held: tuple | None = None  # the last score of the rows before, which may go on
+
+        def add(pos: np.ndarray, neg: np.ndarray) -> None:
+            nonlocal tp, fp, roc, precise
+            above, reached = tp + np.cumsum(pos, axis=0), fp + np.cumsum(neg, axis=0)
+            roc = roc + (neg * (above - pos / 2)).sum(0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                precise = precise + np.where(above > 0, pos / total[0] * above / (above + reached), 0.0).sum(0)
+            tp, fp = above[-1], reached[-1]
+
+        for label, _, score, w in _drawn(batches):
+            new = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+            pos, neg = (np.add.reduceat(np.where(c[:, None], w, 0.0), new, axis=0) for c in (label == 1, label != 1))
+            if held is not None:
+                if held[0] == score[0]:
+                    pos[0] += held[1]
+                    neg[0] += held[2]
+                else:
+                    add(held[1][None], held[2][None])
+            held = score[-1], pos[-1], neg[-1]
+            if len(pos) > 1:
+                add(pos[:-1], neg[:-1])
+        if held is not None:
+            add(held[1][None], held[2][None])
+        yield pa.RecordBatch.from_arrays([pa.array([[*roc, *precise]], pa.list_(pa.float64()))], names=["areas"])
+    return run
+
+
 def bootstrap_metrics(preds: DataFrame, replicates: int = 1000, label: str = "label", pred: str = "pred",
                       score: str = "score", areas: bool = True) -> DataFrame:
-    """(replicate, metric, value). Equal rows are counted once before the replicates are laid out."""
-    hist = preds.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred"), F.col(score).alias("score")).agg(
+    """(replicate, metric, value).
+
+    Equal rows are counted once and only these counts are shuffled, by ranges of the score. Tasks draw the weights of
+    all replicates for a few rows at a time and keep sums per replicate: one scan for counts and losses, a second one,
+    which knows the sums of the ranges above, for the areas. Each range sends 7 and 2 numbers a replicate. A row's
+    weight depends on its values and the replicate alone, so reruns and other partitions give the same replicates.
+    """
+    spark = preds.sparkSession
+    ensure_checkpoint_dir(spark)
+    hist = preds.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred"), F.col(score).cast("double").alias("score")).agg(
         F.count(F.lit(1)).alias("n"))
-    drawn = hist.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn(
-        "w", bootstrap_counts(F.col("n"), F.col("replicate"), F.col("label"), F.col("pred"), F.col("score"))
-    ).filter(F.col("w") > 0)
-    rep = ["replicate"]
-    w = F.col("w")
-    out = rates_from_counts(confusion(drawn, "label", "pred", rep, w))
-    y, s = F.col("label").cast("double"), F.col("score")
-    brier = drawn.groupBy("replicate").agg((F.sum(w * (s - y) * (s - y)) / F.sum(w)).alias("brier"))
-    out = out.join(brier, rep)
+    placed = hist.repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score"), "label", "pred").checkpoint()
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_uniform(
+        r, F.col("label"), F.col("pred"), F.col("score")))
+    drawn = placed.select(
+        F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"), "score", F.col("n").cast("double").alias("n"),
+        draws.alias("u"))
+    found = sorted(drawn.mapInArrow(_replicate_sums(replicates), "part int, sums array<double>").collect(), key=lambda r: r["part"])
+    parts = np.array([r["sums"] for r in found]).reshape(len(found), 7, replicates)
+    sums = parts.sum(0)
+    rows = [(i, *(int(x) for x in sums[:4, i]), float(sums[4, i] / n) if n else None)
+            for i, n in enumerate(sums[5] + sums[6])]
+    out = rates_from_counts(spark.createDataFrame(rows, "replicate int, tn long, fp long, fn long, tp long, brier double"))
     if areas:
-        out = out.join(area_metrics(score_histogram(drawn, "label", "score", rep, w), rep), rep)
-    return metrics_long(out, rep)
+        above = np.cumsum(parts[:, 5:], axis=0) - parts[:, 5:]
+        before = {r["part"]: above[i] for i, r in enumerate(found)}
+        got = np.array([r["areas"] for r in drawn.mapInArrow(_replicate_areas(before, sums[5:]), "areas array<double>").collect()])
+        roc, precise = got.reshape(len(got), 2, replicates).sum(0)
+        both = sums[5] * sums[6]
+        rows = [(i, float(roc[i] / both[i]) if both[i] else None, float(precise[i]) if sums[5, i] else None) for i in range(replicates)]
+        out = out.join(spark.createDataFrame(rows, "replicate int, roc_auc double, average_precision double"), "replicate")
+    return metrics_long(out, ["replicate"])
 
 
 def bootstrap_intervals(boot: DataFrame, level: float = 0.95) -> DataFrame:
