@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import NativeFile
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,11 +66,77 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
 
 
+#: Bytes of a read. Blocks of a file, as well, have this size.
+READ = 1 << 20
+# Schemes that tasks can open for ranged reads; files of other schemes are read whole by Spark.
+RANGED = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+
+
+def _open(path: str) -> NativeFile:
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        return LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    found, name = FileSystem.from_uri(f"{RANGED[scheme]}:{quote(rest, safe='/:@%')}")
+    return found.open_input_file(name)
+
+
+def _digest_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the range of each row, READ bytes at a time."""
+    for batch in batches:
+        digests = []
+        for path, offset, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            digest = hashlib.sha256()
+            with _open(path) as source:
+                source.seek(offset)
+                while size > 0:
+                    part = source.read(min(READ, size))
+                    if not part:
+                        raise IntegrityError(f"{path} ended {size} bytes early")
+                    digest.update(part)
+                    size -= len(part)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "offset", "bytes", "sha256"])
+
+
+_RANGE = "path string, offset long, bytes long, sha256 string"
+
+
+def _file() -> Column:
+    return F.element_at(F.split("path", "/"), -1).alias("file")
+
+
+def _listed(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(path, length) of the files, without their content, and whether tasks can open them for ranged reads."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    schemes = {r["s"] for r in found.select(F.split("path", ":")[0].alias("s")).distinct().collect()}
+    return found, schemes <= set(RANGED)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """One range a task where there are cores for it: listings come in few partitions."""
+    return rows.repartition(max(1, min(rows.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism)), "path", "offset")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) per file. Files of 2 GB and more must be listed part by part."""
-    raw = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return raw.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) per file of any size. SHA-256 has an order, so a file is one task, which streams it in reads
+    of 1 MiB; `file_blocks` spreads a file over tasks. Empty files are not listed."""
+    found, ranged = _listed(spark, path)
+    if ranged:
+        whole = found.select("path", F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("bytes"))
+        return _dealt(whole).mapInArrow(_digest_ranges, _RANGE).select(_file(), "bytes", "sha256")
+    raw = spark.read.format("binaryFile").load(path)  # up to 2 GB a file
+    return raw.select(_file(), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def file_blocks(spark: SparkSession, path: str, block: int = READ) -> DataFrame:
+    """(file, offset, bytes, sha256) of every block of every file, dealt over tasks; an empty file has no block."""
+    found, ranged = _listed(spark, path)
+    if not ranged:
+        raise ValueError(f"blocks need one of the schemes {sorted(RANGED)}")
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(block).cast("bigint")))
+    blocks = found.filter("length > 0").withColumn("offset", starts).select(
+        "path", "offset", F.least(F.lit(block).cast("bigint"), F.col("length") - F.col("offset")).alias("bytes"))
+    return _dealt(blocks).mapInArrow(_digest_ranges, _RANGE).select(_file(), "offset", "bytes", "sha256")
 
 
 def verify_files(spark: SparkSession, path: str, manifest: dict[str, str], on_mismatch: str = "fail") -> DataFrame:
