@@ -47,7 +47,10 @@ LINE_SET = files.Dataset(
     common={"size": "l_quantity", "rebate": "l_discount"})
 
 
-@query("s04_dataset_registry")
+@query("s04_dataset_registry", """
+WITH d AS (SELECT l_linenumber, l_quantity, l_discount, l_tax, l_extendedprice, l_returnflag = 'R' AS label FROM lineitem)
+SELECT 'lines' AS dataset, 'full' AS view, count(*) AS rows, 'l_tax' AS suspicious FROM (SELECT DISTINCT * FROM d)
+UNION ALL SELECT 'lines', 'common', count(*), 'l_tax' FROM (SELECT DISTINCT l_quantity, l_discount, label FROM d)""")
 def s04(spark: SparkSession, sf: str) -> DataFrame:
     t = fx.table(spark, sf, "lineitem")
     loaded = files.normalise(t, LINE_SET)
@@ -61,7 +64,9 @@ def s04(spark: SparkSession, sf: str) -> DataFrame:
 @query("s05_load_normalise", fx.with_sql(
     """d AS (SELECT DISTINCT l_linenumber, l_quantity, l_discount, l_tax, CAST(l_returnflag = 'R' AS INTEGER) AS label,
              l_extendedprice FROM lineitem)""",
-    body="""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS null_cells, count(*) FILTER (WHERE label = 1) AS positives,
+    body="""SELECT count(*) AS rows, CAST(sum(CAST(l_linenumber IS NULL AS BIGINT) + CAST(l_quantity IS NULL AS BIGINT)
+    + CAST(l_discount IS NULL AS BIGINT) + CAST(l_tax IS NULL AS BIGINT) + CAST(l_extendedprice IS NULL AS BIGINT)) AS BIGINT) AS null_cells,
+  count(*) FILTER (WHERE label = 1) AS positives,
   count(*) FILTER (WHERE label = 0) AS negatives,
   round(greatest(count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE label = 0))
         / CAST(least(count(*) FILTER (WHERE label = 1), count(*) FILTER (WHERE label = 0)) AS DOUBLE), 6) AS imbalance_ratio,

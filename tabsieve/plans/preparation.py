@@ -201,7 +201,12 @@ def i09(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-@query("i10_no_nulls_left", fx.with_sql(M, N, S, body="SELECT count(*) AS n, CAST(0 AS BIGINT) AS nulls FROM fsplit"))
+_MEDIANS = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in fx.FEATURES)
+_LEFT = " + ".join(f"CAST(coalesce(s.{c}, m.{c}) IS NULL AS BIGINT)" for c in fx.FEATURES)
+
+
+@query("i10_no_nulls_left", fx.with_sql(M, N, S, f"m AS (SELECT {_MEDIANS} FROM fsplit WHERE split = 'train')", body=f"""
+SELECT count(*) AS n, CAST(sum({_LEFT}) AS BIGINT) AS nulls FROM fsplit s, m"""))
 def i10(spark: SparkSession, sf: str) -> DataFrame:
     from tabsieve.operators.clean import require_no_nulls
 

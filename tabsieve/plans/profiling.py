@@ -319,7 +319,8 @@ SELECT (SELECT CAST(sum(n - k) AS BIGINT) FROM grp) AS dup_all, (SELECT CAST(sum
   (SELECT count(*) FROM dom WHERE d = 1) AS constant, (SELECT count(*) FROM dom WHERE d >= 0.99 AND d < 1) AS quasi_constant,
   (SELECT count(*) FROM dom WHERE is01) AS binary,
   (SELECT count(*) FROM ({_pairs_sql('fmain', fx.FEATURES)}) WHERE abs(r) > 0.9) AS correlated_pairs,
-  CAST(1 AS BIGINT) AS comissing_pairs"""))
+  (SELECT count(*) FROM ({_pairs_sql('fnull', NULLABLE, '(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')})
+   WHERE abs(r) > 0.95) AS comissing_pairs"""))
 def a28(spark: SparkSession, sf: str) -> DataFrame:
     return pr.profile_summary(fx.main_raw(spark, sf), fx.FEATURES, "label")
 
