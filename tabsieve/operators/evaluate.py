@@ -49,6 +49,10 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
 
 
+def _tagged(df: DataFrame, label: str, k: int, seed: int, key: str) -> DataFrame:
+    return df if {"fold", "folds"} & set(df.columns) else stratified_kfold(df, label, k, seed, key)
+
+
 def out_of_fold(
     df: DataFrame, estimators: Mapping[str, Estimator], k: int = 5, seed: int = 42, label: str = "label",
     key: str = "row_id", resample: Resampler | None = None, threads: int | None = None, extra: Sequence[str] = (),
@@ -56,21 +60,26 @@ def out_of_fold(
 ) -> DataFrame:
     """(model, fold, row_id, label, pred, score, fit_time_s): one prediction per row and model.
 
-    `df` may already carry a `fold` column; resampling only ever touches the training side. Every fit reads
+    `df` may already carry a `fold` column, or an array `folds` with a fold for every repeat: then `fold` numbers the
+    blocks repeat * k + fold, and each model predicts every row once a repeat. Resampling only ever touches the training side. Every fit reads
     the table again, so callers cache it (`cross_validate` does). A model named in `rounds` is scored at each of
     these numbers of rounds from its one fit; its rows are named model@rounds.
     """
     threads, rounds = threads or PARALLEL, rounds or {}
-    spread = df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)
-    folds = sorted(r["fold"] for r in spread.select("fold").distinct().collect())
+    spread = _tagged(df, label, k, seed, key)
+    if "folds" in spread.columns:
+        found = sorted({(i, f) for r in spread.select("folds").distinct().collect() for i, f in enumerate(r["folds"])})
+        held = {n: F.col("folds")[i] == f for n, (i, f) in enumerate(found)}
+    else:
+        held = {r["fold"]: F.col("fold") == r["fold"] for r in spread.select("fold").distinct().collect()}
 
     def task(name: str, est: Estimator, fold: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            train = spread.filter(F.col("fold") != fold).drop("fold")
+            train = spread.filter(~held[fold]).drop("fold", "folds")
             start = time.perf_counter()
             model = est.fit(resample(train) if resample else train)
             spent = time.perf_counter() - start
-            valid, named = spread.filter(F.col("fold") == fold), F.lit(name)
+            valid, named = spread.filter(held[fold]).drop("folds").withColumn("fold", F.lit(fold)), F.lit(name)
             if name in rounds:
                 scored, named = model.at(valid, rounds[name]), F.concat(named, F.lit("@"), F.col("rounds").cast("string"))
             else:
@@ -78,7 +87,7 @@ def out_of_fold(
             return scored.select(named.alias("model"), "fold", *KEEP, *extra, F.lit(spent).alias("fit_time_s"))
         return run
 
-    tasks = [task(n, e, f) for n, e in estimators.items() for f in folds]
+    tasks = [task(n, e, f) for n, e in estimators.items() for f in sorted(held)]
     return union_all(parallel(tasks, threads))
 
 
@@ -88,7 +97,7 @@ def cross_validate(df: DataFrame, estimators: Mapping[str, Estimator], k: int =
     """(model, fold, metric..., fit_time_s): the fold scores, kept for paired tests."""
     # Written once: the metrics below read it several times, and its plan holds every fitted model.
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = compact(df if "fold" in df.columns else stratified_kfold(df, label, k, seed, key)).persist()
+    tagged = compact(_tagged(df, label, k, seed, key)).persist()
     try:
         threads = max(PARALLEL, df.sparkSession.sparkContext.defaultParallelism // max(1, tagged.rdd.getNumPartitions()))
         oof = out_of_fold(tagged, estimators, k, seed, label, key, resample, threads, rounds=rounds).checkpoint()

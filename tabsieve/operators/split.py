@@ -109,6 +109,14 @@ def repeated_kfold(
     return tagged.withColumn("fold", F.size(F.filter("cuts", lambda c: c < F.col("_h")))).drop("_h", "cuts")
 
 
+def fold_tags(df: DataFrame, label: str, k: int = 5, repeats: int = 3, seed: int = 42, key: str | Sequence[str] = "row_id") -> DataFrame:
+    """Add `folds`: the row's fold in every repeat. The table keeps its rows, whatever the number of repeats."""
+    names = [f"_fold_{r}" for r in range(repeats)]
+    for r, name in enumerate(names):
+        df = stratified_kfold(df, label, k, seed + r, key, name)
+    return df.withColumn("folds", F.array(*names)).drop(*names)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str | Sequence[str] = "row_id") -> DataFrame:
     """Exactly n rows uniformly at random (all of them when there are no more)."""
     key = _as_list(key)

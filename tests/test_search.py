@@ -12,7 +12,7 @@ def table(spark):
     t = spark.range(600).select(
         F.col("id").alias("row_id"), *[(F.pmod(F.xxhash64(F.lit(c), "id"), F.lit(1000)) / 1000).alias(c) for c in "abc"])
     noisy = F.col("a") + F.col("b") * F.col("c") + F.pmod(F.xxhash64(F.lit("n"), "row_id"), F.lit(1000)) / 4000
-    return t.withColumn("label", (noisy > 0.9).cast("int")).persist()
+    return t.withColumn("label", (noisy > 0.9).cast("int")).coalesce(1).persist()
 
 
 def factory(**p):
@@ -71,3 +71,22 @@ def test_perceptron_stops_when_nothing_is_gained(table):
     right = model.transform(easy).agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
     assert right > 0.95
     assert mo.Perceptron(["a", "b", "c"], (4,), max_iter=20, share=0.0).fit(easy).iterations == 20
+
+
+def test_repeated_blocks_of_one_table(table):
+    from tabsieve.operators import split as sp
+
+    tagged = sp.fold_tags(table, "label", 5, 3)
+    assert tagged.count() == 600
+    for r in range(3):
+        alone = {x.row_id: x.fold for x in sp.stratified_kfold(table, "label", 5, 42 + r).collect()}
+        assert {x.row_id: x.folds[r] for x in tagged.collect()} == alone
+    oof = ev.out_of_fold(tagged.persist(), {"dummy": mo.Dummy(), "logistic": mo.build("logistic", ["a", "b", "c"])})
+    blocks = oof.groupBy("model", "fold").count().collect()
+    assert {(r.model, r.fold) for r in blocks} == {(m, b) for m in ("dummy", "logistic") for b in range(15)}
+    assert oof.filter("model = 'logistic'").groupBy("row_id").count().filter("count <> 3").count() == 0
+    # A block is what a fold of its own split gives.
+    one = sp.stratified_kfold(table, "label", 5, 43)
+    want = {r.row_id: r.score for r in ev.out_of_fold(one, {"logistic": mo.build("logistic", ["a", "b", "c"])}).filter("fold = 2").collect()}
+    got = {r.row_id: r.score for r in oof.filter("model = 'logistic' AND fold = 7").collect()}
+    assert got == pytest.approx(want)
