@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.llm.components import connected_components
-from tabsieve.llm.stages import written
+from tabsieve.llm.stages import tidy, written
 from tabsieve.llm.words import groups, hash_windows, hash_words, lower_ascii, mix, signed, spans, utf8
 
 BINS = 256
@@ -197,7 +197,7 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     columns are ignored; an empty table gives an empty result.
     """
     docs = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    signed_docs = written(docs.mapInArrow(_sign(shingle, percent), "doc long, n long, k1 long, k2 long, bands array<long>"), "signatures")
+    signed_docs = written(docs.mapInArrow(tidy(_sign(shingle, percent)), "doc long, n long, k1 long, k2 long, bands array<long>"), "signatures")
     usable = signed_docs.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = written(usable.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")), "classes")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n")
@@ -221,13 +221,13 @@ def _links(docs: DataFrame, met: DataFrame, shingle: int, percent: int) -> DataF
     if edges.isEmpty():
         return edges
     wanted = met.select("doc").distinct()
-    texts = written(docs.filter(F.col("doc").isNotNull()).mapInArrow(_pack, "doc long, packed binary")
+    texts = written(docs.filter(F.col("doc").isNotNull()).mapInArrow(tidy(_pack), "doc long, packed binary")
                     .join(written(wanted, "wanted"), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         one = pairs.join(texts.withColumnRenamed("doc", "a").withColumnRenamed("packed", "pa"), "a")
         two = one.join(texts.withColumnRenamed("doc", "b").withColumnRenamed("packed", "pb"), "b")
-        return written(two.select("a", "b", "pa", "pb").mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
+        return written(two.select("a", "b", "pa", "pb").mapInArrow(tidy(_confirm(shingle, percent)), "a long, b long"), name)
 
     links = confirmed(edges, "links")
     labels = written(connected_components(links, "a", "b"), "labels")
@@ -257,7 +257,29 @@ def _links(docs: DataFrame, met: DataFrame, shingle: int, percent: int) -> DataF
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85) -> DataFrame:
-    """One document of each component stays (the one with the smallest key), with all its columns."""
-    gone = written(near_components(df, key, text, shingle, percent).filter(~F.col("kept"))
-                   .select(F.col(key).alias("_gone")).distinct(), "gone")
-    return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    """One row of each component stays, with all its columns: the one with the smallest key (null last).
+
+    Rows without shingles are linked with nothing and all stay. Where keys are null or repeated, a row's identity is a
+    64-bit hash of key and text: every text of a repeated key is a node of its own, rows equal in key and text are
+    one and the one with the smallest hash of its other columns stays. An empty table stays empty.
+    """
+    odd = df.groupBy(F.col(key).cast("bigint").alias("k")).count().filter("k IS NULL OR count > 1")
+    if odd.isEmpty():
+        gone = written(near_components(df, key, text, shingle, percent).filter(~F.col("kept"))
+                       .select(F.col(key).alias("_gone")).distinct(), "gone")
+        return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    taken = {c.lower() for c in df.columns}
+    node = next(n for n in (f"_node_{k}" for k in range(len(taken) + 1)) if n not in taken)
+    hashed = F.xxhash64(F.col(key).cast("bigint"), F.coalesce(F.col(text), F.lit("")), F.col(key).isNull())
+    rows = df.withColumn(node, hashed)
+    parts = near_components(rows.select(node, text), node, text, shingle, percent)
+    first = F.struct(F.col("k").isNull(), "k", "n")
+    keys = rows.select(F.col(node).alias("n"), F.col(key).cast("bigint").alias("k")).distinct()
+    named = written(parts.select(F.col(node).alias("n"), "component_id").distinct().join(keys, "n"), "nodes")
+    stays = named.groupBy("component_id").agg(F.min(first).alias("x")).select(F.col("x.n").alias("n"))
+    gone = written(named.select("n").join(stays, "n", "left_anti"), "gone")
+    left = rows.join(gone, F.col(node) == F.col("n"), "left_anti")
+    again = written(left.groupBy(node).count().filter("count > 1").select(F.col(node).alias("n")), "again")
+    one = left.join(again, F.col(node) == F.col("n"), "left_semi").groupBy(node).agg(
+        F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("row")).select("row.*")
+    return left.join(again, F.col(node) == F.col("n"), "left_anti").select(df.columns).unionAll(one)

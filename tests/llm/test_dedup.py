@@ -197,3 +197,23 @@ def test_components(spark):
     got = components.connected_components(spark.createDataFrame(edges, "s long, d long"), "s", "d").collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
     assert components.connected_components(spark.createDataFrame([], "s long, d long"), "s", "d").count() == 0
+
+
+def test_copies_are_rows_not_keys(documents):
+    rows = [(0, "b"), (1, "b"), (1, "a"), (2, "x y"), (2, "x y"), (None, "n"), (None, "n"), (None, "m"), (3, None), (4, "")]
+    kept = exact_dedup.drop_copies(documents(rows))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(
+        [(0, "b"), (1, "a"), (2, "x y"), (None, "n"), (None, "m"), (3, None)], key=str)
+    assert kept.columns == documents(rows).columns
+    assert exact_dedup.drop_copies(documents([])).count() == 0
+
+
+def test_near_copies_are_rows_not_keys(documents):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, long), (1, long + " end"), (1, "quite another text"), (2, "p q r s"), (2, "p q r s"), (None, long + " z"), (None, None),
+            (None, "alone here now"), (None, "alone here now"), (5, "")]
+    kept = near_dedup.drop_near_copies(documents(rows))
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(
+        [(0, long), (1, "quite another text"), (2, "p q r s"), (None, None), (None, "alone here now"), (5, "")], key=str)
+    unique = near_dedup.drop_near_copies(documents([r for r in rows if r[0] in (0, 5)]))
+    assert {r.doc_id for r in unique.collect()} == {0, 5}
