@@ -8,7 +8,6 @@ lowest rank of each word, until no word has a pair left. Token ids are the ranks
 from __future__ import annotations
 
 import base64
-import gc
 import re
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.llm.packed import ranges
+from tabsieve.llm.stages import tidy
 
 #: Steps of one recursive query. Words that need more go into the next one, so that the rows which a
 #: recursion keeps stay bounded however long a word is.
@@ -30,7 +30,9 @@ STEPS = 24
 POSITIONS = 100_000
 #: Bytes that a worker spends on remembered pieces: the older half that was not met again is forgotten beyond it,
 #: all of them when the task ends.
-REMEMBERED = 96 << 20
+REMEMBERED = 64 << 20
+#: Bytes of text that are encoded at a time.
+PORTION = 1 << 20
 #: Longer words are encoded in segments of this many bytes, whose joints are mended.
 SEGMENT = 32
 
@@ -285,21 +287,19 @@ def _task(shared: Any, pattern: str, work: Callable) -> Callable:
         finally:
             codec.db.close()
             codec.__dict__.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-    return run
+    return tidy(run)
 
 
 def _encoded(codec: Codec, keys: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """Keys, ids and offsets of portions of the texts."""
     texts = texts.fill_null("")
-    for lo, hi in _portions(pc.binary_length(texts).to_numpy(zero_copy_only=False), 2 << 20):
+    for lo, hi in _portions(pc.binary_length(texts).to_numpy(zero_copy_only=False), PORTION):
         yield keys.slice(lo, hi - lo), *codec.encode(texts.slice(lo, hi - lo).to_pylist())
 
 
 def _decoded(codec: Codec, values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     out: list[bytes] = []
-    for lo, hi in _portions(np.diff(offsets), 400_000):
+    for lo, hi in _portions(np.diff(offsets), 200_000):
         out += codec.decode([values[offsets[i]:offsets[i + 1]] for i in range(lo, hi)])
     return out
 
@@ -313,7 +313,7 @@ def _encode(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _decode(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
     offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-    for lo, hi in _portions(np.diff(offsets), 400_000):
+    for lo, hi in _portions(np.diff(offsets), 200_000):
         part = pa.array(_decoded(codec, values, offsets[lo:hi + 1]), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids.slice(lo, hi - lo), part], names=["doc", "ids", "bytes"])
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsieve.llm.packed import ranges
+from tabsieve.llm.stages import tidy
 from tabsieve.llm.words import SPACE, groups, hash_windows, hash_words, mix, spans, utf8
 
 #: Documents on which cost and selectivity are estimated; the order of the rules changes no result.
@@ -74,7 +76,7 @@ class Texts:
         """The bytes of some documents and their offsets."""
         sizes = self.offsets[rows + 1] - self.offsets[rows]
         local = np.concatenate([[0], np.cumsum(sizes)])
-        return self.data[np.repeat(self.offsets[rows] - local[:-1], sizes) + np.arange(local[-1])], local
+        return self.data[ranges(self.offsets[rows], sizes)], local
 
 
 def _symbols(t: Texts, rows: np.ndarray) -> np.ndarray:
@@ -101,18 +103,21 @@ def _shouting(t: Texts, rows: np.ndarray) -> np.ndarray:
 
 def _stutter(t: Texts, rows: np.ndarray) -> np.ndarray:
     """More than 30 in 100 words equal the word before."""
-    same = np.zeros(len(t.hashes), dtype=bool)
-    same[1:] = t.hashes[1:] == t.hashes[:-1]
-    same[t.firsts[(t.n_words > 0)]] = False
-    total = np.concatenate([[0], np.cumsum(same)])
-    return 100 * (total[t.firsts[rows] + t.n_words[rows]] - total[t.firsts[rows]]) > 30 * t.n_words[rows]
+    sizes = t.n_words[rows]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    words = t.hashes[ranges(t.firsts[rows], sizes)]
+    same = np.zeros(len(words), dtype=bool)
+    same[1:] = words[1:] == words[:-1]
+    same[bounds[:-1][sizes > 0]] = False
+    return 100 * _sums(same, bounds) > 30 * sizes
 
 
 def _letters(t: Texts, rows: np.ndarray) -> np.ndarray:
     """Fewer than half of the words hold a letter (ASCII, or any character beyond ASCII)."""
-    total = np.concatenate([[0], np.cumsum(_LETTER[t.data])])
-    holds = np.concatenate([[0], np.cumsum(total[t.ends] > total[t.starts])])
-    return 100 * (holds[t.firsts[rows] + t.n_words[rows]] - holds[t.firsts[rows]]) < 50 * t.n_words[rows]
+    data, offsets = t.bytes_of(rows)
+    starts, ends, bounds = spans(data, offsets)
+    total = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    return 100 * _sums(total[ends] > total[starts], bounds) < 50 * t.n_words[rows]
 
 
 RULES: dict[str, Callable[[Texts, np.ndarray], np.ndarray]] = {
@@ -141,7 +146,8 @@ def rule_order(df: DataFrame, key: str = "doc_id", text: str = "text", sample_ro
     """Rule names by rejections per second on at most `sample_rows` documents, picked by hash of the key."""
     chosen = df.select(F.col(key).alias("_key")).filter("_key is not null").orderBy(F.xxhash64("_key"), "_key").limit(sample_rows)
     sample = df.join(F.broadcast(chosen.distinct()), F.col(key) == F.col("_key"), "left_semi").select(key, text)
-    seen = sample.mapInArrow(_measure, "rule string, seconds double, rejected long").groupBy("rule").agg(
+    sample = sample.limit(sample_rows)  # rows that repeat a chosen key count as well
+    seen = sample.mapInArrow(tidy(_measure), "rule string, seconds double, rejected long").groupBy("rule").agg(
         F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
     gain = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in seen}
     return sorted(RULES, key=lambda name: -gain.get(name, 0.0))
@@ -175,7 +181,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: i
     """
     order = rule_order(df, key, text, sample_rows)
     out = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).mapInArrow(
-        _judge(order), "doc long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+        tidy(_judge(order)), "doc long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, base_failed boolean, kept boolean")
     return out.withColumnRenamed("doc", key)
 
@@ -184,13 +190,16 @@ def _filter(order: list[str], at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged = _judge(order)
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], names=["doc", "text"])
-            parts = [x.column(7) for x in judged(iter([pair]))]
-            yield batch.filter(pa.concat_arrays(parts)) if parts else batch
+            _, offsets = utf8(batch.column(at))
+            for lo, hi in groups(offsets):
+                part = batch.slice(lo, hi - lo)
+                pair = pa.RecordBatch.from_arrays([pa.nulls(hi - lo, pa.int64()), part.column(at)], names=["doc", "text"])
+                yield part.filter(pa.concat_arrays([x.column(7) for x in judged(iter([pair]))]))
     return run
 
 
 def passing(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows that pass, with all their columns; no shuffle."""
+    """The rows that `judge` keeps, with all their columns; no shuffle. Rows are judged one by one: null and empty
+    texts go, null and repeated keys and repeated rows make no difference, an empty table stays empty."""
     order = rule_order(df, key, text, sample_rows)
-    return df.mapInArrow(_filter(order, df.columns.index(text)), df.schema)
+    return df.mapInArrow(tidy(_filter(order, df.columns.index(text))), df.schema)
