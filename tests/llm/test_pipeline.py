@@ -71,7 +71,7 @@ def test_stages_keep_the_columns(spark, documents):
 @pytest.mark.parametrize("name", [n for n in contract.queries() if n[:2] == "op" and n in contract.oracle_sql()])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = contract.queries()[name](spark, SF)
     res = con.execute(contract.oracle_sql()[name])

@@ -3,12 +3,13 @@
 import base64
 import collections
 import random
-import time
 import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tabsieve.llm import bpe, langid, license_scan, mixing, quality
 
@@ -212,3 +213,37 @@ def test_license_scan(documents):
     labels = {key: r.labels for (key, _), r in got.items()}
     assert (labels[5], labels[11], labels[13]) == ("cc-by-nc", "bsd", "")
     assert license_scan.scan_documents(documents([])).count() == 0
+
+
+def test_many_patterns_are_planned_in_spark(spark, documents, monkeypatch):
+    rng = random.Random(9)
+    names = [None, "a", "b", "é", "z", *[f"s{i}" for i in range(40)]]
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 9, 40])), None, rng.choice(names)) for i in range(600)]
+    docs = documents(rows)
+    want = sorted(map(tuple, mixing.mixed(docs).collect()), key=str)
+    pairs = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.array("source", F.lit("a"))).when(
+        F.pmod("doc_id", F.lit(7)) == 0, F.array("source", F.lit("z"))).otherwise(F.array("source"))
+    key = lambda r: (r["doc_id"], r["_times"])
+    both = mixing.mix(docs, pairs)
+    flow, targets = sorted(map(key, both[0].collect())), sorted(map(tuple, both[1].collect()), key=str)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 10)
+    assert sorted(map(tuple, mixing.mixed(docs).collect()), key=str) == want
+    again = mixing.mix(docs, pairs)
+    assert sorted(map(tuple, again[1].collect()), key=str) == targets
+    # Several flows may be as cheap; each source's words and the passes of a group are the same.
+    taken = [{s: sum(r["_size"] * r["_times"] for r in got if s in r["_members"]) for s in names} for got in (both[0].collect(), again[0].collect())]
+    assert sum(r[1] for r in flow) > 0 and all(abs(taken[0][s] - taken[1][s]) <= 80 for s in names)
+
+
+def test_own_names_may_clash(documents):
+    docs = documents([(1, "a b c", None, "s"), (2, "d e", None, "t"), (3, None, None, None)])
+    for name in ("_size", "_ROW", "_p"):
+        mixed = mixing.repeated(docs.withColumnRenamed("kept", name))
+        assert mixed.columns == docs.withColumnRenamed("kept", name).columns
+        assert sorted(r[0] for r in mixed.collect()) == sorted(r[0] for r in mixing.repeated(docs).collect())
+
+
+def test_thirty_thousand_sources(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "'one two three' AS text", "concat('host', pmod(id, 30000)) AS source")
+    rows = mixing.mixed(docs).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("most")).first()
+    assert rows["n"] == 60_000 and rows["most"] <= 18 and abs(rows["taken"] - 180_000) < 60_000
