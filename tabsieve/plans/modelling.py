@@ -544,8 +544,8 @@ def g14(spark: SparkSession, sf: str) -> DataFrame:
     return ev.leaderboard(sp.stratified_kfold(df, "label", 3), est, areas=False)
 
 
-# One model of every family that is fitted in seconds; the boosters are compared on the leaderboard.
-FAMILIES = ("logistic", "gaussian_nb", "tree", "lda", "mlp_64_32", "knn_5", "nystroem_svm")
+# One model of every family that is fitted in seconds; the others are compared on the leaderboards.
+FAMILIES = ("logistic", "gaussian_nb", "tree", "lda")
 
 
 @query("v04_families_contrast")
