@@ -11,15 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.operators.metrics import confusion, rates_from_counts
+from tabsieve.operators.models import BoostedModel
 from tabsieve.operators.split import sample_rows
 
 MAX_BACKGROUND = 200
 ROWS_PER_BUCKET = 100_000  # rows ranked by one task; changes no result
 
 
-def gain_importance(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
+def gain_importance(model: PipelineModel | BoostedModel, features: Sequence[str], df: DataFrame) -> DataFrame:
     """(variable, importance): the tree model's impurity gain, normalised to add up to 1."""
-    fitted = next(s for s in model.stages if hasattr(s, "featureImportances"))
+    fitted = model.booster if isinstance(model, BoostedModel) else next(s for s in model.stages if hasattr(s, "featureImportances"))
     v = np.asarray(fitted.featureImportances.toArray())
     total = float(v.sum()) or 1.0
     return df.sparkSession.createDataFrame(

@@ -265,3 +265,14 @@ def test_models_learn_the_label(spark):
     model = mo.build("tree", columns, depth=5).fit(train)
     top = [r["variable"] for r in ex.gain_importance(model, columns, train).orderBy(F.desc("importance")).limit(2).collect()]
     assert "f_qty" in top
+
+
+def test_gain_importance_reads_a_booster(spark):
+    from tabsieve.operators import explain as ex
+    from tabsieve.operators import models as mo
+
+    t = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") > 90).cast("int").alias("label"),
+                                F.col("id").cast("double").alias("a"), F.pmod(F.hash("id"), F.lit(7)).cast("double").alias("b"))
+    model = mo.build("hist_gb", ["a", "b"], iterations=2, depth=2).fit(t)
+    got = {r["variable"]: r["importance"] for r in ex.gain_importance(model, ["a", "b"], t).collect()}
+    assert got["a"] > got["b"] and sum(got.values()) == pytest.approx(1.0)
