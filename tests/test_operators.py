@@ -276,3 +276,10 @@ def test_gain_importance_reads_a_booster(spark):
     model = mo.build("hist_gb", ["a", "b"], iterations=2, depth=2).fit(t)
     got = {r["variable"]: r["importance"] for r in ex.gain_importance(model, ["a", "b"], t).collect()}
     assert got["a"] > got["b"] and sum(got.values()) == pytest.approx(1.0)
+
+
+def test_balance_when_cleaning_leaves_no_row(spark):
+    d = spark.createDataFrame([(1.0, 0), (1.0, 1), (1.0, 1)], "a double, label int")
+    got = rows(pr.balance_before_after(d, cl.clean(d, ["a"], "label"), "label"), "label")
+    assert [got[y]["n_before"] for y in (0, 1)] == [1, 2]
+    assert all(r["n_after"] == 0 and r["share_after"] is None for r in got.values())
