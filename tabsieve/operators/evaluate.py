@@ -24,9 +24,12 @@ from tabsieve.operators.models import Linear
 from tabsieve.operators.split import learning_sizes, stratified_kfold
 from tabsieve.session import ensure_checkpoint_dir
 from tabsieve.sources.files import union_all
+from tabsieve.sources.sinks import written
 
 #: Fits side by side, at least; as many more as cores are free beside a table of few partitions.
 PARALLEL = 4
+#: Rows of fits side by side: every fit keeps its rows, and one fit of a large table uses all cores by itself.
+ROWS_SIDE_BY_SIDE = 20_000_000
 #: Rows of a partition of a table that is fitted many times: every job of a fit pays for each of its tasks.
 ROWS_A_TASK = 50_000
 KEEP = ("row_id", "label", "pred", "score")
@@ -43,9 +46,13 @@ def parallel(tasks: Sequence[Callable[[], object]], threads: int = PARALLEL) ->
         return pool.map(run, list(tasks))
 
 
-def compact(df: DataFrame) -> DataFrame:
+def side_by_side(rows: int, threads: int = PARALLEL) -> int:
+    return max(1, min(threads, ROWS_SIDE_BY_SIDE // max(1, rows)))
+
+
+def compact(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The table in partitions of about ROWS_A_TASK rows, never in more than it has."""
-    parts = max(1, -(-df.count() // ROWS_A_TASK))
+    parts = max(1, -(-(df.count() if rows is None else rows) // ROWS_A_TASK))
     return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
 
 
@@ -97,10 +104,12 @@ def cross_validate(df: DataFrame, estimators: Mapping[str, Estimator], k: int =
     """(model, fold, metric..., fit_time_s): the fold scores, kept for paired tests."""
     # Written once: the metrics below read it several times, and its plan holds every fitted model.
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = compact(_tagged(df, label, k, seed, key)).persist()
+    size = df.count()
+    tagged = compact(_tagged(df, label, k, seed, key), size).persist()
     try:
         threads = max(PARALLEL, df.sparkSession.sparkContext.defaultParallelism // max(1, tagged.rdd.getNumPartitions()))
-        oof = out_of_fold(tagged, estimators, k, seed, label, key, resample, threads, rounds=rounds).checkpoint()
+        oof = written(out_of_fold(tagged, estimators, k, seed, label, key, resample, side_by_side(size, threads),
+                                  rounds=rounds).drop("row_id"), "out-of-fold")
     finally:
         tagged.unpersist()
     m = binary_metrics(oof, score="score" if areas else None, by=["model", "fold"])
@@ -132,7 +141,7 @@ def best_non_dummy(table: DataFrame, n: int = 3, metric: str = "f1_mean") -> Dat
 def holdout(train: DataFrame, test: DataFrame, estimator: Estimator) -> DataFrame:
     """Fit on all of train, score the reserved test once: the predictions table, written once."""
     ensure_checkpoint_dir(test.sparkSession)
-    return estimator.fit(train).transform(test).select(*KEEP).checkpoint()
+    return written(estimator.fit(train).transform(test).select(*KEEP), "holdout")
 
 
 # ---- search ----------------------------------------------------------------------------------
@@ -189,11 +198,13 @@ def nested_cv(df: DataFrame, factory: Callable[..., Estimator], sampler: Callabl
 def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int = 3, seed: int = 42,
                    label: str = "label", metric: str = "f1") -> DataFrame:
     """(step, fold, rows, train, validation, gap): nested training sizes, fixed validation folds."""
+    ensure_checkpoint_dir(df.sparkSession)
+    size = df.count()
     tagged = stratified_kfold(df, label, k, seed)
     sized = compact(union_all([
         learning_sizes(tagged.filter(F.col("fold") != f), label, steps, seed=seed + 1).withColumn("hold", F.lit(f))
         for f in range(k)])).persist()
-    valid = compact(tagged).persist()
+    valid = compact(tagged, size).persist()
 
     def task(step: int, fold: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
@@ -205,9 +216,9 @@ def learning_curve(df: DataFrame, estimator: Estimator, steps: int = 6, k: int =
                     *tag, F.lit("validation").alias("side"), *KEEP))
         return run
 
-    ensure_checkpoint_dir(df.sparkSession)
     try:
-        preds = union_all(parallel([task(s, f) for s in range(1, steps + 1) for f in range(k)])).checkpoint()
+        tasks = [task(s, f) for s in range(1, steps + 1) for f in range(k)]
+        preds = written(union_all(parallel(tasks, side_by_side(size))).drop("row_id"), "learning-curve")
     finally:
         sized.unpersist()
         valid.unpersist()
@@ -284,13 +295,21 @@ class Stack(Estimator):
         self.members, self.k, self.seed = dict(members), k, seed
 
     def _fit(self, dataset: DataFrame) -> StackModel:
-        names = list(self.members)
-        oof = out_of_fold(dataset, self.members, self.k, self.seed)
-        wide = oof.groupBy("row_id").agg(
-            F.max("label").cast("double").alias("label"),
-            *[F.max(F.when(F.col("model") == n, F.col("score"))).alias(f"_s{i}") for i, n in enumerate(names)])
-        final = Linear(LogisticRegression(labelCol="label"), [f"_s{i}" for i in range(len(names))]).fit(wide)
-        return StackModel(parallel([lambda e=e: e.fit(dataset) for e in self.members.values()]), final)
+        names = [f"_s{i}" for i in range(len(self.members))]
+        ensure_checkpoint_dir(dataset.sparkSession)
+        tagged = written(_tagged(dataset, "label", self.k, self.seed, "row_id"), "stack-folds")
+        sizes = {r["fold"]: r["count"] for r in tagged.groupBy("fold").count().collect()}
+        threads = side_by_side(sum(sizes.values()))
+        fits = parallel([lambda e=e, f=f: e.fit(tagged.filter(F.col("fold") != f).drop("fold"))
+                         for f in sorted(sizes) for e in self.members.values()], threads)
+        held = []
+        for n, f in enumerate(sorted(sizes)):  # the members are chained on the same row: no join
+            out = tagged.filter(F.col("fold") == f).drop("fold")
+            for name, m in zip(names, fits[n * len(names):], strict=False):
+                out = m.transform(out).withColumnRenamed("score", name).drop("pred")
+            held.append(out.select(F.col("label").cast("double").alias("label"), *names))
+        final = Linear(LogisticRegression(labelCol="label"), names).fit(written(union_all(held), "stack-scores"))
+        return StackModel(parallel([lambda e=e: e.fit(dataset) for e in self.members.values()], threads), final)
 
 
 class CalibratedModel(Model):
@@ -332,8 +351,10 @@ class Calibrated(Estimator):
             vec = VectorAssembler(inputCols=["_raw"], outputCol="_rv").transform(held)
             return model, IsotonicRegression(featuresCol="_rv", labelCol="label").fit(vec)
 
-        pairs = parallel([lambda f=f: pair(f) for f in range(self.k)])
-        tagged.unpersist()
+        try:
+            pairs = parallel([lambda f=f: pair(f) for f in range(self.k)], side_by_side(tagged.count()))
+        finally:
+            tagged.unpersist()
         return CalibratedModel(pairs, self.method)
 
 

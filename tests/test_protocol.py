@@ -1,8 +1,10 @@
 """The registered model queries run the whole lists and budgets of the protocol (nothing is fitted here)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabsieve.operators import balance as ba
+from tabsieve.operators import evaluate as ev
 from tabsieve.operators import models as mo
 from tabsieve.plans import REGISTERED, preparation
 from tabsieve.plans import modelling as ml
@@ -85,3 +87,16 @@ def test_knn_imputer_fills_from_training_rows(spark):
     model = KnnImputer(["a", "b"], 2).fit(train)
     assert {r.row_id: r.b for r in model.transform(other).collect()} == {9: 2.0, 10: 7.0}
     assert {r.row_id: r.b for r in model.transform(train).collect()} == {1: 1.0, 2: 3.0, 3: 50.0, 4: 2.0}
+
+
+def test_stacking_joins_no_rows(spark, monkeypatch):
+    """Held scores of all members are read off the same row; the stack is fitted one member after the other when rows are many."""
+    table = spark.range(300).select(F.col("id").alias("row_id"), (F.pmod(F.hash("id"), F.lit(10)) > 4).cast("int").alias("label"),
+                                    F.pmod(F.hash("id"), F.lit(10)).cast("double").alias("a"))
+    monkeypatch.setattr(ev, "out_of_fold", None)  # its long table was grouped by row again
+    members = {"logistic": mo.build("logistic", ["a"], max_iter=5), "tree": mo.build("tree", ["a"], depth=2)}
+    scored = ev.Stack(members, 2).fit(table).transform(table)
+    assert scored.count() == 300 and scored.filter("pred <> label").count() == 0
+    assert ev.side_by_side(1000) == ev.PARALLEL and ev.side_by_side(ev.ROWS_SIDE_BY_SIDE) == 1
+    plan = ev.holdout(table, table, members["tree"])._jdf.queryExecution().toString()
+    assert "parquet" in plan.lower()  # columns, not rows of a checkpoint
