@@ -283,3 +283,11 @@ def test_balance_when_cleaning_leaves_no_row(spark):
     got = rows(pr.balance_before_after(d, cl.clean(d, ["a"], "label"), "label"), "label")
     assert [got[y]["n_before"] for y in (0, 1)] == [1, 2]
     assert all(r["n_after"] == 0 and r["share_after"] is None for r in got.values())
+
+
+def test_sample_flag_marks_the_sampled_rows(spark):
+    t = spark.range(500).select(F.col("id").alias("row_id"))
+    for n in (0, 137, 900):
+        want = set(rows(sp.sample_rows(t, n, 3), "row_id"))
+        flagged = sp.sample_flag(t, n, 3)
+        assert flagged.count() == 500 and set(rows(flagged.filter("drawn"), "row_id")) == want
