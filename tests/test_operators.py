@@ -291,3 +291,31 @@ def test_sample_flag_marks_the_sampled_rows(spark):
         want = set(rows(sp.sample_rows(t, n, 3), "row_id"))
         flagged = sp.sample_flag(t, n, 3)
         assert flagged.count() == 500 and set(rows(flagged.filter("drawn"), "row_id")) == want
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.2])
+def test_wide_vectors_meet_in_blocks(spark, monkeypatch, missing):
+    monkeypatch.setattr(knn, "CROSS_BLOCK", 64)
+    monkeypatch.setattr(knn, "CROSS_QUERIES", 20)
+    monkeypatch.setattr(knn, "CROSS_BASE", 2)
+    monkeypatch.setattr(knn, "build_tree", None)  # walks moved every query to every leaf
+    rng = np.random.default_rng(3)
+    p = knn.TREE_DIMS + 4
+    x = np.round(rng.normal(size=(300, p)), 1) + 1000.0  # far from the origin: products alone would be inexact
+    x[20:60] = x[20]
+    x[rng.random(x.shape) < missing] = np.nan
+    cols = [f"c{i}" for i in range(p)]
+    df = spark.createDataFrame([(int(i), int(i % 2), *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)],
+                               "row_id long, label int, " + ", ".join(f"{c} double" for c in cols))
+    got = knn.neighbours(df, df, cols, 3).toPandas().sort_values(["row_id", "rank"])
+    d = np.sqrt(knn.block_distances(x, x))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 900
+    for i, g in got.groupby("row_id"):
+        want = np.lexsort((np.arange(300), d[i]))[:3]
+        assert list(g["neighbour"]) == list(want) and list(g["distance"]) == list(d[i][want]) and list(g["y"]) == list(want % 2)
+    filled = knn.neighbours(df, df, cols, 3, payload=None, fill_missing=True).toPandas() if missing else []
+    assert len(filled) == 3 * np.isnan(x).sum()
+    for (i, s), g in (filled.sort_values("rank").groupby(["row_id", "slot"]) if missing else ()):
+        near = np.where(np.isnan(x[:, s]), np.inf, d[i])
+        assert list(g["neighbour"]) == list(np.lexsort((np.arange(300), near))[:3])
