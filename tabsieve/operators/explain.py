@@ -10,6 +10,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsieve.operators.distribution import MAX_BUFFERS
 from tabsieve.operators.metrics import confusion, rates_from_counts
 from tabsieve.operators.models import BoostedModel
 from tabsieve.operators.split import sample_rows
@@ -41,15 +42,17 @@ def permutation_importance(model: Model, df: DataFrame, features: Sequence[str],
     spread = df.select(key, label, *features).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     h = F.xxhash64(F.lit(seed), F.col("_rep"), F.col(key))
     slot = F.shiftright(F.pmod(h, F.lit(2**40)) * F.lit(buckets), 40)
-    placed = spread.withColumns({"_h": F.pmod(h, F.lit(2**40)), "_b": slot, "_row": F.struct(*features)})
+    placed = spread.withColumns({"_h": F.pmod(h, F.lit(2**40)), "_b": slot})
     w = Window.partitionBy("_rep", "_b").orderBy("_h", key)
-    heads = placed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("_rep", "_b", "_row")
+    lowest = placed.groupBy("_rep", "_b").agg(F.min("_h").alias("_low"))
+    heads = placed.join(F.broadcast(lowest), ["_rep", "_b"]).filter("_h = _low").groupBy("_rep", "_b").agg(
+        F.min_by(F.struct(*features), key).alias("_row"))
     ring = Window.partitionBy("_rep").orderBy("_b")  # one row per range
     start = F.first("_row").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     handed = heads.select("_rep", "_b", F.coalesce(F.lead("_row").over(ring), start).alias("_after"))
-    turned = placed.withColumn("_next", F.lead("_row").over(w)).join(handed, ["_rep", "_b"]).withColumn(
-        "_p", F.when(F.col("_next").isNotNull(), F.col("_next")).otherwise(F.col("_after"))).select(
-        key, label, "_rep", *features, *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in features])
+    after = placed.withColumns({"_more": F.lead("_h").over(w).isNotNull(), **{f"_p_{c}": F.lead(c).over(w) for c in features}})
+    turned = after.join(F.broadcast(handed), ["_rep", "_b"]).select(
+        key, label, "_rep", *features, *[F.when(F.col("_more"), F.col(f"_p_{c}")).otherwise(F.col(f"_after.{c}")).alias(f"_p_{c}") for c in features])
     variants = turned.withColumn("_v", F.explode(F.array(*[F.lit(i) for i in range(len(features))])))
     altered = variants.select(
         key, label, "_rep", F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_v") + 1).alias("variable"),
@@ -69,7 +72,7 @@ def _background(df: DataFrame, features: Sequence[str], size: int, seed: int, ke
 
 def shapley(model: Model, rows: DataFrame, background: DataFrame, features: Sequence[str], permutations: int = 8,
             background_size: int = 50, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """(row_id, variable, contribution, base, score): sampled Shapley values.
+    """(row_id, variable, value, contribution, base, score): sampled Shapley values.
 
     A re-aimed estimator: feature orders and reference rows are drawn by hash. Along one order the
     row's values replace the reference row's one by one, so contributions telescope and
@@ -77,7 +80,8 @@ def shapley(model: Model, rows: DataFrame, background: DataFrame, features: Sequ
     """
     p = len(features)
     refs = _background(background, features, background_size, seed, key)
-    draws = rows.select(key, *features).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    placed = rows.select(key, *features).repartition(key)  # all that is shuffled: the altered rows of a row stay together
+    draws = placed.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     order = F.array_sort(F.array(*[
         F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("_perm"), F.lit(i)).alias("h"), F.lit(i).alias("i"))
         for i in range(p)]))
@@ -85,18 +89,20 @@ def shapley(model: Model, rows: DataFrame, background: DataFrame, features: Sequ
     base = draws.withColumns({"_o": F.transform(order, lambda s: s["i"]), "_z": F.get(refs, pick)})
     steps = base.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(p))))
     hybrid = steps.select(
-        key, "_perm", "_step", F.get(F.col("_o"), F.col("_step") - 1).alias("_i"),
+        key, "_step", F.get(F.col("_o"), F.col("_step") - 1).alias("_i"), F.get(F.col("_o"), F.col("_step")).alias("_j"),
         *[F.when(F.array_position(F.col("_o"), i) <= F.col("_step"), F.col(c)).otherwise(F.col("_z")[i]).alias(c)
           for i, c in enumerate(features)])
     scored = model.transform(hybrid)
-    w = Window.partitionBy(key, "_perm").orderBy("_step")
-    diffs = scored.withColumns({"_d": F.col("score") - F.lag("score").over(w),
-                                "_b": F.first("score").over(w)})
-    names = F.array(*[F.lit(c) for c in features])
-    last = F.max(F.when(F.col("_step") == p, F.col("score"))).over(Window.partitionBy(key, "_perm"))
-    return diffs.withColumn("_s", last).filter(F.col("_step") > 0).groupBy(
-        key, F.get(names, F.col("_i")).alias("variable")).agg(
-        F.avg("_d").alias("contribution"), F.avg("_b").alias("base"), F.max("_s").alias("score"))
+    # A score is added to the variable that was replaced last and taken off the one that is replaced next.
+    share = lambda i: F.when(F.col("_i") == i, F.col("score")).when(F.col("_j") == i, -F.col("score")).otherwise(0.0)
+    own = lambda c: F.max(F.when(F.col("_step") == p, F.col(c)))
+    sums = scored.groupBy(key).agg(
+        *[F.sum(share(i)).alias(f"_s{i}") for i in range(p)], *[own(c).alias(f"_v{i}") for i, c in enumerate(features)],
+        F.count_if(F.col("_step") == 0).alias("_n"), F.sum(F.when(F.col("_step") == 0, F.col("score"))).alias("_b"), own("score").alias("_f"))
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"_v{i}").cast("double").alias("value"),
+                               (F.col(f"_s{i}") / F.col("_n")).alias("contribution")) for i, c in enumerate(features)])
+    return sums.select(key, F.explode(cells).alias("_c"), (F.col("_b") / F.col("_n")).alias("base"), F.col("_f").alias("score")).select(
+        key, "_c.variable", "_c.value", "_c.contribution", "base", "score")
 
 
 def global_attribution(values: DataFrame) -> DataFrame:
@@ -108,7 +114,9 @@ def local_explanation(values: DataFrame, row, key: str = "row_id") -> DataFrame:
 
 
 def dependence(values: DataFrame, rows: DataFrame, features: Sequence[str], key: str = "row_id") -> DataFrame:
-    """(row_id, variable, value, contribution)."""
+    """(row_id, variable, value, contribution); values that carry the row's own need no join."""
+    if "value" in values.columns:
+        return values.filter(F.col("variable").isin(list(features))).select(key, "variable", "value", "contribution")
     cells = rows.select(key, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
         [key], list(features), "variable", "value")
     return cells.join(values.select(key, "variable", "contribution"), [key, "variable"])
@@ -125,19 +133,24 @@ def pair_interactions(model: Model, rows: DataFrame, background: DataFrame, feat
     refs = _background(background, features, background_size, seed, key)
     subsets = [(-1, -1)] + [(i, -1) for i in range(p)] + [(i, j) for i in range(p) for j in range(i + 1, p)]
     sets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in subsets])
-    d = rows.select(key, *features).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    placed = rows.select(key, *features).repartition(key)  # all that is shuffled: the altered rows of a row stay together
+    d = placed.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     pick = F.pmod(F.xxhash64(F.lit(seed), F.lit("pair"), F.col(key), F.col("_draw")), F.size(refs)).cast("int")
-    ex = d.withColumn("_z", F.get(refs, pick)).withColumn("_s", F.explode(sets))
+    ex = d.withColumn("_z", F.get(refs, pick)).select("*", F.posexplode(sets).alias("_n", "_s"))
     hybrid = ex.select(
-        key, "_draw", F.col("_s.i").alias("_i"), F.col("_s.j").alias("_j"),
+        key, "_draw", "_n",
         *[F.when((F.col("_s.i") == i) | (F.col("_s.j") == i), F.col(c)).otherwise(F.col("_z")[i]).alias(c)
           for i, c in enumerate(features)])
-    scored = model.transform(hybrid).select(key, "_draw", "_i", "_j", "score")
-    # One row per (row, draw): the p + 1 single terms travel as a small array, pairs stay rows.
-    singles = scored.filter(F.col("_j") == -1).groupBy(key, "_draw").agg(
-        F.map_from_entries(F.collect_list(F.struct("_i", "score"))).alias("_m"))
-    pairs = scored.filter(F.col("_j") >= 0).join(singles, [key, "_draw"])
-    value = F.abs(F.col("score") - F.col("_m")[F.col("_i")] - F.col("_m")[F.col("_j")] + F.col("_m")[F.lit(-1)])
-    names = F.array(*[F.lit(c) for c in features])
-    return pairs.groupBy(F.get(names, F.col("_i")).alias("a"), F.get(names, F.col("_j")).alias("b")).agg(
-        F.avg(value).alias("mean_abs"))
+    # One row per (row, draw) with the scores of all sets: as columns, or as a map if they are many.
+    scored = model.transform(hybrid).groupBy(key, "_draw")
+    if len(subsets) <= MAX_BUFFERS:
+        scored = scored.agg(*[F.max(F.when(F.col("_n") == n, F.col("score"))).alias(f"_f{n}") for n in range(len(subsets))])
+        at = {s: F.col(f"_f{n}") for n, s in enumerate(subsets)}
+    else:
+        scored = scored.agg(F.map_from_entries(F.collect_list(F.struct("_n", "score"))).alias("_m"))
+        at = {s: F.col("_m")[n] for n, s in enumerate(subsets)}
+    cells = F.array(*[
+        F.struct(F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"),
+                 F.abs(at[i, j] - at[i, -1] - at[j, -1] + at[-1, -1]).alias("gap"))
+        for i, j in subsets if j >= 0])
+    return scored.select(F.explode(cells).alias("_c")).groupBy("_c.a", "_c.b").agg(F.avg("_c.gap").alias("mean_abs"))
