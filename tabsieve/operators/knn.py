@@ -44,6 +44,8 @@ LEVELS = 15
 TREE_DIMS = 16
 #: Rows of a block of the cross join, queries whose products are held at once, and base blocks of a task.
 CROSS_BLOCK, CROSS_QUERIES, CROSS_BASE = 4096, 512, 32
+#: Pairs of a product that are measured at once.
+HIT_PAIRS = 1 << 16
 #: Rows of a base side that no tree is built for: all its blocks are shown to every query in one pass.
 CROSS_ROWS = 4 * CROSS_BLOCK
 #: Leaves that a query visits before its distance is looked at again.
@@ -89,8 +91,9 @@ class _Nearest:
         self.has = ~np.isnan(x)
         self.x0 = np.where(self.has, x, 0.0)
         self.square = (self.x0**2).sum(1)
-        self.kept: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # by slot and first query: row, d2, neighbour, y
-        self.worst: dict[tuple[int, int], np.ndarray] = {}
+        self.open = ~self.has if fill_missing else np.ones((len(x), 1), dtype=bool)  # the slots of a query
+        self.kept: dict[int, tuple[np.ndarray, ...]] = {}  # by first query: row, slot, d2, neighbour, y
+        self.worst = np.where(self.open, np.inf, -np.inf)
 
     def see(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         has = ~np.isnan(x)
@@ -98,59 +101,57 @@ class _Nearest:
         complete = self.has.all() and has.all()
         squares = (x0**2).sum(1)
         p = x.shape[1]
-        wide = np.column_stack([x0, np.ones(len(x0)), squares]).T
+        wide = (np.column_stack([x0, np.ones(len(x0)), squares]) if complete else np.column_stack([x0, x0**2, has])).T
+        fits = has if self.fill_missing else np.ones((len(x), 1), dtype=bool)
         for start in range(0, len(self.x), CROSS_QUERIES):
             rows = slice(start, start + CROSS_QUERIES)
             if complete:  # |q|^2 - 2 q b + |b|^2 as one product
                 near = np.column_stack([-2.0 * self.x0[rows], self.square[rows], np.ones(len(self.x0[rows]))]) @ wide
                 slack = 1e-12 * (self.square[rows] + squares.max())
             else:
-                near = -2.0 * self.x0[rows] @ x0.T
-                mine, theirs = self.has[rows].astype("float64"), has.astype("float64")
-                near += mine @ (x0**2).T
-                near += (self.x0[rows]**2) @ theirs.T
-                common = mine @ theirs.T
+                mine = self.has[rows]
+                near = np.column_stack([-2.0 * self.x0[rows], mine, self.x0[rows]**2]) @ wide
+                common = mine.astype("float32") @ has.T.astype("float32")  # small whole numbers
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    near = np.where(common > 0, near * (p / common), np.inf)
+                    near *= np.divide(p, common, dtype="float64")
+                near[common == 0] = np.inf
                 slack = 1e-12 * p * (self.square[rows] + squares.max())
-            for slot in range(p) if self.fill_missing else (0,):
-                i = np.flatnonzero(~self.has[rows][:, slot]) if self.fill_missing else np.arange(len(near))
-                j = np.flatnonzero(has[:, slot]) if self.fill_missing else np.arange(len(ids))
-                if len(i) and len(j):
-                    part = near[np.ix_(i, j)] if self.fill_missing else near
-                    self._merge(slot, start, i, j, part, slack, x, ids, x[j, slot] if self.fill_missing else y)
-
-    def _merge(self, slot, start, i, j, part, slack, x, ids, y) -> None:
-        """Pairs whose product is within its error of the current bound are measured and merged."""
-        n = min(CROSS_QUERIES, len(self.x) - start)
-        worst = self.worst.setdefault((slot, start), np.full(n, np.inf))
-        limit = worst[i] + slack[i]
-        open_ = np.isinf(limit)
-        if open_.any() and part.shape[1] > self.want:
-            limit[open_] = np.partition(part[open_], self.want - 1, axis=1)[:, self.want - 1] + 2 * slack[i][open_]
-        a, b = np.nonzero(part <= limit[:, None])
-        if not len(a):
-            return
-        r, c = i[a], j[b]
-        d2 = pair_distances(self.x[start + r], x[c])
-        fine = np.isfinite(d2)
-        found = (r[fine], d2[fine], ids[c[fine]], y[b[fine]])
-        old = self.kept.get((slot, start))
-        if old is not None:
-            found = tuple(np.concatenate(z) for z in zip(old, found, strict=True))
-        order = np.lexsort((found[2], found[1], found[0]))
-        found = tuple(z[order] for z in found)
-        place = np.arange(len(order)) - np.searchsorted(found[0], found[0])
-        found = tuple(z[place < self.want] for z in found)
-        place = place[place < self.want]
-        full = place == self.want - 1
-        worst[found[0][full]] = found[1][full]
-        self.kept[slot, start] = found
+            self._merge(start, near, slack, fits, ids, x, x if self.fill_missing else y[:, None])
+
+    def _merge(self, start: int, near: np.ndarray, slack: np.ndarray, fits: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs whose product is within its error of the current bound of a slot are measured and merged."""
+        limit = self.worst[start:start + len(near)] + slack[:, None]
+        for slot in np.flatnonzero(np.isposinf(limit).any(0)):  # queries that have not seen `want` rows yet
+            i, j = np.flatnonzero(np.isposinf(limit[:, slot])), np.flatnonzero(fits[:, slot])
+            if len(j) > self.want:
+                part = near if (len(i), len(j)) == near.shape else near[np.ix_(i, j)]
+                limit[i, slot] = np.partition(part, self.want - 1, axis=1)[:, self.want - 1] + 2 * slack[i]
+        # One look at a pair for all slots of its query: few pairs are near enough for any of them.
+        pairs = np.nonzero(near <= limit.max(1)[:, None])
+        for at in range(0, len(pairs[0]), HIT_PAIRS):
+            r, c = (z[at:at + HIT_PAIRS] for z in pairs)
+            a, slot = np.nonzero((near[r, c][:, None] <= limit[r]) & fits[c])
+            d2 = pair_distances(self.x[start + r], x[c])[a]
+            fine = np.isfinite(d2)
+            a, slot, d2 = a[fine], slot[fine], d2[fine]
+            if not len(a):
+                continue
+            found = (r[a], slot, d2, ids[c[a]], y[c[a], slot])
+            old = self.kept.get(start)
+            if old is not None:
+                found = tuple(np.concatenate(z) for z in zip(old, found, strict=True))
+            group = found[0] * self.open.shape[1] + found[1]
+            order = np.lexsort((found[3], found[2], group))
+            found, group = tuple(z[order] for z in found), group[order]
+            place = np.arange(len(order)) - np.searchsorted(group, group)
+            found = tuple(z[place < self.want] for z in found)
+            full = place[place < self.want] == self.want - 1
+            self.worst[start + found[0][full], found[1][full]] = found[2][full]
+            self.kept[start] = found
 
     def frames(self) -> Iterator[pd.DataFrame]:
-        for (slot, start), (r, d2, neighbour, y) in self.kept.items():
-            yield pd.DataFrame({"id": self.ids[start + r], "slot": np.full(len(r), slot, dtype="int32"), "neighbour": neighbour,
-                                "d2": d2, "y": y})
+        for start, (r, slot, d2, neighbour, y) in self.kept.items():
+            yield pd.DataFrame({"id": self.ids[start + r], "slot": slot.astype("int32"), "neighbour": neighbour, "d2": d2, "y": y})
 
 
 def pair_distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,7 +200,8 @@ def _cross(q: DataFrame, rows: DataFrame, total: int, p: int, want: int, fill_mi
         if state is not None:
             yield from state.frames()
 
-    return left.crossJoin(right).mapInPandas(search, f"id {id_type}, slot int, neighbour {id_type}, d2 double, y double")
+    # Not a broadcast of the queries: that would show them to one task for each part of the base, a pair of blocks at a time.
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInPandas(search, f"id {id_type}, slot int, neighbour {id_type}, d2 double, y double")
 
 
 class _Cells:
